@@ -189,6 +189,333 @@ def q_synonym_expand(spark, sf_dir):
         "doc_id", F.explode(synonym_terms(toks)).alias("term")))
 
 
+
+# ---------------------------------------------------------------------------------------------
+# Sources, paths and text.
+# ---------------------------------------------------------------------------------------------
+
+from quarry.plans import fixtures as FX  # noqa: E402
+from quarry.sources import files as src  # noqa: E402
+
+
+def q_project_discovery(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.expr(FX.DOC_DISCOVERY_PATH).alias("path"))
+    return normalise_output(src.discover_projects(docs, "path"))
+
+
+def _page_parts(pages):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1)
+    return pages.select("page_id", "html", host.alias("host"), path.alias("path"))
+
+
+def q_file_scan(spark, sf_dir):
+    """Pages as files: absolute paths under ``/workspace/<host>`` made project-relative."""
+    pages = _page_parts(table(spark, sf_dir, "pages")).select(
+        "page_id", F.col("host").alias("project"), F.length("html").alias("n_chars"),
+        F.concat(F.lit("/workspace/"), "host", F.lit("/"), "path", F.lit(".html")).alias("abs_path"),
+        F.concat(F.lit("/workspace/"), "host").alias("root"))
+    files = src.from_table(pages, "project", "abs_path", "n_chars", root=F.col("root"))
+    files = files.select("project", "file_path", F.col("content").alias("n_chars"))
+    ids = pages.select("page_id", "project", "n_chars",
+                       tx.relative_path("abs_path", "root").alias("file_path"))
+    return normalise_output(ids.join(files, ["project", "file_path", "n_chars"], "left_semi"))
+
+
+def _doc_files(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.expr(FX.DOC_REL_PATH).alias("file_path"))
+
+
+def q_path_filter(spark, sf_dir):
+    files = _doc_files(spark, sf_dir)
+    return normalise_output(src.select_source_files(files).select("doc_id", "file_path"))
+
+
+def q_detect_language(spark, sf_dir):
+    files = _doc_files(spark, sf_dir)
+    return normalise_output(files.select("doc_id", "file_path",
+                                         tx.detect_language("file_path").alias("language")))
+
+
+def q_decode_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    crlf = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    latin = (F.pmod("doc_id", F.lit(2)) == 1) & F.col("text").rlike("^[\\x{0}-\\x{ff}]*$")
+    raw = docs.select("doc_id", F.when(latin, F.encode(crlf, "ISO-8859-1"))
+                      .otherwise(F.encode(crlf, "UTF-8")).alias("content"))
+    out = src.decode_content(raw, "content")
+    return normalise_output(out.select("doc_id", "content", F.length("content").alias("n_chars")))
+
+
+def q_path_tokens(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return normalise_output(pages.select("page_id", tx.path_tokens("url").alias("path_tokens")))
+
+
+def q_normalize_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return normalise_output(docs.select("doc_id", tx.fold("text").alias("folded")))
+
+
+def q_index_name(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return normalise_output(part.select(
+        "p_partkey", tx.index_name("p_name", DEFAULT_SETTINGS.index_prefix).alias("index_name")))
+
+
+def q_search_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.expr(FX.DOC_MD_PATH).alias("file_path"),
+        F.expr("CASE WHEN lang = 'de' THEN concat('Doc', CAST(doc_id AS STRING)) END")
+        .alias("symbol_name"),
+        F.expr("CASE WHEN lang IN ('de', 'es') THEN 'section' END").alias("symbol_type"))
+    out = docs.select("doc_id", tx.search_text(
+        "file_path", tx.detect_language("file_path"), tx.path_tokens("file_path"), "text",
+        "symbol_name", "symbol_type").alias("search_text"))
+    return normalise_output(out)
+
+
+def q_snippet(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return normalise_output(docs.select(
+        "doc_id", tx.snippet("text", DEFAULT_SETTINGS.snippet_chars).alias("snippet"),
+        F.length(tx.preview("text", DEFAULT_SETTINGS.preview_chars)).alias("preview_chars")))
+
+
+def q_query_dedupe(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    spaced = F.replace(F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n"),
+                       F.lit("\t\n "))
+    asked = conv.select("conv_id", "text").unionByName(
+        conv.select("conv_id", spaced.alias("text")))
+    keyed = asked.withColumn("query_key", tx.query_cache_key("text"))
+    return normalise_output(keyed.groupBy("query_key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv")))
+
+
+# ---------------------------------------------------------------------------------------------
+# Chunking and structure.
+# ---------------------------------------------------------------------------------------------
+
+from quarry.operators import chunking as ch  # noqa: E402
+from quarry.operators import structure as st  # noqa: E402
+from quarry.operators import symbols as sy  # noqa: E402
+
+
+def _paragraph_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.expr(FX.DOC_PARAGRAPHS).alias("text"))
+
+
+def q_chunk_text(spark, sf_dir):
+    out = ch.chunk_text(_paragraph_docs(spark, sf_dir), "text", keep=("doc_id",))
+    return normalise_output(out.select("doc_id", "piece_index", "content", "start_offset",
+                                       "end_offset"))
+
+
+def q_chunk_lines(spark, sf_dir):
+    out = ch.chunk_text(_paragraph_docs(spark, sf_dir), "text", keep=("doc_id",))
+    return normalise_output(out.select("doc_id", "piece_index", "start_line", "end_line"))
+
+
+def _part_sources(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_brand").alias("project"), F.expr(FX.PART_PATH).alias("file_path"),
+        F.expr(FX.PART_SOURCE).alias("content"))
+
+
+def q_symbol_spans(spark, sf_dir):
+    parts = _part_sources(spark, sf_dir)
+    spans = parts.select("p_partkey", F.posexplode(sy.symbol_spans("content", F.lit(True)))
+                         .alias("span_ord", "s"))
+    return normalise_output(spans.select(
+        "p_partkey", "span_ord", F.col("s.name").alias("name"),
+        F.col("s.symbol_type").alias("symbol_type"), F.col("s.start_line").alias("start_line"),
+        F.col("s.end_line").alias("end_line"), F.col("s.text").alias("text")))
+
+
+def q_module_gaps(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    spans = ev.select(F.col("user_id"), F.expr(FX.EVENT_START).alias("start_line"),
+                      F.expr(FX.EVENT_END).alias("end_line"))
+    files = ev.select("user_id").distinct().withColumn("n_lines", F.lit(FX.EVENT_LINES))
+    return normalise_output(sy.module_gaps(spans, files, keys=("user_id",)))
+
+
+def _mixed_files(spark, sf_dir):
+    parts = _part_sources(spark, sf_dir).drop("p_partkey")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project"), F.expr(FX.DOC_MD_PATH).alias("file_path"),
+        F.expr(FX.DOC_PARAGRAPHS).alias("content"))
+    return parts.unionByName(docs)
+
+
+def q_structured_chunks(spark, sf_dir):
+    return normalise_output(st.structured_chunks(_mixed_files(spark, sf_dir)))
+
+
+def q_build_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select(F.lit("corpus").alias("project"), F.expr(FX.DOC_REL_PATH).alias("file_path"),
+                      F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")
+                      .alias("content"))
+    out = st.build_chunks(raw)
+    return normalise_output(out.select(
+        "project", "file_path", "chunk_index", "language", "symbol_type", "start_line",
+        "end_line", "content", "search_text"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Embedding, index and registry.
+# ---------------------------------------------------------------------------------------------
+
+from quarry.operators import embed as em  # noqa: E402
+from quarry.operators import index as ix  # noqa: E402
+from quarry.operators import registry as rg  # noqa: E402
+from quarry.session import scratch_path  # noqa: E402
+
+
+def q_embed_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    vec = docs.select("doc_id", em.hashed_embedding("text", 512, precision="double")
+                      .alias("embedding"))
+    out = vec.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")) \
+        .where(F.col("weight") != 0)
+    return normalise_output(out)
+
+
+def _doc_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("project"), doc_path().alias("file_path"))
+
+
+def q_chunk_vectors(spark, sf_dir):
+    chunks = _doc_chunks(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), "embedding")
+    matched, missing = em.attach_vectors(chunks, vectors, "doc_id")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0),
+                              lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    out = matched.select("doc_id", "file_path", F.lit(True).alias("has_vector"),
+                         F.size("embedding").alias("dim"), norm.alias("norm")).unionByName(
+        missing.select("doc_id", "file_path", F.lit(False).alias("has_vector"),
+                       F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("norm")))
+    return normalise_output(out)
+
+
+def q_index_refresh(spark, sf_dir):
+    path = scratch_path(spark, "index_refresh")
+    rows = doc_index(spark, sf_dir)
+    ix.refresh_projects(rows, path)
+    docs_en = table(spark, sf_dir, "documents").where("source = 'src0' AND lang = 'en'") \
+        .select("doc_id")
+    refreshed = rows.where(F.col("project") == "src0").join(
+        docs_en, F.regexp_extract("file_path", "doc([0-9]+)", 1).cast("long") == docs_en.doc_id,
+        "left_semi")
+    ix.refresh_projects(refreshed, path)
+    back = ix.read_index(spark, path)
+    return normalise_output(back.select("project", "file_path", "chunk_index", "chunk_key",
+                                        F.size("embedding").alias("dim")))
+
+
+def q_index_summary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project"), F.expr(FX.DOC_MD_PATH).alias("file_path"),
+        F.expr(FX.DOC_PARAGRAPHS).alias("content"))
+    chunks = st.structured_chunks(docs)
+    registry = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
+    return normalise_output(ix.index_summary(chunks, registry))
+
+
+def _ts_str(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def _nation_registry(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    t0 = F.lit(FX.REGISTRY_T0).cast("timestamp")
+    created = t0 + F.make_dt_interval(F.lit(0), F.col("n_nationkey"))
+    indexed = F.when(F.col("n_regionkey") == 0, F.lit(None).cast("timestamp")) \
+        .otherwise(t0 + F.make_dt_interval(F.col("n_nationkey")))
+    return n.select(
+        F.col("n_name").alias("name"), F.expr(FX.NATION_PROJECT_PATH).alias("project_path"),
+        tx.index_name("n_name", DEFAULT_SETTINGS.index_prefix).alias("index_name"),
+        created.alias("created_at"), created.alias("updated_at"),
+        indexed.alias("last_indexed_at"),
+        (F.col("n_nationkey") * 10).cast("long").alias("last_indexed_chunk_count"))
+
+
+def _incoming(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(
+        F.expr(FX.SUPPLIER_PROJECT).alias("name"), F.expr(FX.SUPPLIER_PATH).alias("project_path"),
+        F.col("s_suppkey").alias("seq"))
+
+
+def _registry_view(reg):
+    return normalise_output(reg.select(
+        "name", "project_path", "index_name", _ts_str("created_at").alias("created_at"),
+        _ts_str("updated_at").alias("updated_at"),
+        _ts_str("last_indexed_at").alias("last_indexed_at"), "last_indexed_chunk_count"))
+
+
+def q_project_upsert(spark, sf_dir):
+    reg = rg.upsert_projects(_nation_registry(spark, sf_dir), _incoming(spark, sf_dir),
+                             now=FX.REGISTRY_NOW)
+    return _registry_view(reg)
+
+
+def q_project_stamp(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    summary = (s.where("s_acctbal > 0").join(n, s.s_nationkey == n.n_nationkey)
+               .groupBy(F.col("n_name").alias("project"))
+               .agg(F.count(F.lit(1)).alias("chunks_indexed"))
+               .unionByName(r.select(F.concat(F.lit("region-"), "r_name").alias("project"),
+                                     F.lit(1).cast("long").alias("chunks_indexed"))))
+    reg = rg.stamp_indexed(_nation_registry(spark, sf_dir), summary, now=FX.REGISTRY_NOW)
+    return _registry_view(reg)
+
+
+def q_project_remove(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    removals = n.where("n_regionkey = 1").select(F.col("n_name").alias("name")).unionByName(
+        r.select(F.concat(F.lit("zone-"), "r_name").alias("name")))
+    remaining, outcome = rg.remove_projects(_nation_registry(spark, sf_dir), removals)
+    listed = remaining.select("name", F.lit(None).cast("boolean").alias("ok"),
+                              F.lit(None).cast("long").alias("chunks_deleted"),
+                              F.lit("kept").alias("state"))
+    return normalise_output(outcome.withColumn("state", F.lit("removed")).unionByName(listed))
+
+
+def q_project_list(spark, sf_dir):
+    reg = rg.upsert_projects(_nation_registry(spark, sf_dir), _incoming(spark, sf_dir),
+                             now=FX.REGISTRY_NOW)
+    listed = rg.list_projects(reg)
+    return normalise_output(listed.select(
+        "name", "project_path", _ts_str("last_indexed_at").alias("last_indexed_at"),
+        "last_indexed_chunk_count"))
+
+
+def q_registry_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    registry = rg.upsert_projects(
+        rg.empty_registry(spark),
+        docs.select(F.col("source").alias("name"),
+                    F.concat(F.lit("/ws/"), "source").alias("project_path")).distinct(),
+        now=FX.REGISTRY_NOW)
+    requests = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.concat(F.lit("src"), F.pmod("item_id", F.lit(23)).cast("string")).alias("project"))
+    out = rg.lookup(requests, registry)
+    return normalise_output(out.select("query_id", "project", "status", "index_name"))
+
+
 QUERIES = {
     "search_code": q_search_code,
     "search_fallback": q_search_fallback,
@@ -200,6 +527,32 @@ QUERIES = {
     "semantic_score": q_semantic_score,
     "query_terms": q_query_terms,
     "synonym_expand": q_synonym_expand,
+    "project_discovery": q_project_discovery,
+    "file_scan": q_file_scan,
+    "path_filter": q_path_filter,
+    "decode_text": q_decode_text,
+    "detect_language": q_detect_language,
+    "path_tokens": q_path_tokens,
+    "normalize_text": q_normalize_text,
+    "index_name": q_index_name,
+    "search_text": q_search_text,
+    "snippet": q_snippet,
+    "query_dedupe": q_query_dedupe,
+    "chunk_text": q_chunk_text,
+    "chunk_lines": q_chunk_lines,
+    "symbol_spans": q_symbol_spans,
+    "module_gaps": q_module_gaps,
+    "structured_chunks": q_structured_chunks,
+    "build_chunks": q_build_chunks,
+    "embed_hash": q_embed_hash,
+    "chunk_vectors": q_chunk_vectors,
+    "index_refresh": q_index_refresh,
+    "index_summary": q_index_summary,
+    "project_upsert": q_project_upsert,
+    "project_stamp": q_project_stamp,
+    "project_remove": q_project_remove,
+    "project_list": q_project_list,
+    "registry_lookup": q_registry_lookup,
 }
 
 __all__ = ["QUERIES", "table", "normalise_output", "doc_index", "bench_queries",

@@ -79,3 +79,303 @@ syn_terms AS (
   SELECT f.qid, s.val AS term FROM fired f JOIN syn s ON s.key = f.key
   UNION SELECT qid, key FROM fired)
 SELECT CAST(qid AS BIGINT) AS doc_id, term FROM syn_terms"""
+
+# ---------------------------------------------------------------------------------------------
+# Sources, paths and text.
+# ---------------------------------------------------------------------------------------------
+
+from quarry.config import IGNORED_DIRS, SUPPORTED_EXTENSIONS  # noqa: E402
+from quarry.functions.text import slug_py  # noqa: E402
+from quarry.plans import fixtures as FX  # noqa: E402
+
+_IGN = "[" + ", ".join(S.q(d) for d in IGNORED_DIRS) + "]"
+_EXT = "(" + ", ".join(S.q(e) for e in SUPPORTED_EXTENSIONS) + ")"
+_PREFIX = slug_py("quarry")
+
+ORACLES["project_discovery"] = f"""
+SELECT name, CAST(count(*) AS BIGINT) AS n_files
+FROM (SELECT split_part({FX.DOC_DISCOVERY_PATH}, '/', 1) AS name FROM documents)
+WHERE name NOT IN {tuple(IGNORED_DIRS)}
+GROUP BY name"""
+
+ORACLES["file_scan"] = """
+SELECT CAST(page_id AS BIGINT) AS page_id,
+       regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS project,
+       regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) || '.html' AS file_path,
+       CAST(length(html) AS BIGINT) AS n_chars
+FROM pages"""
+
+_DOC_FILES = f"SELECT doc_id, text, {FX.DOC_REL_PATH} AS file_path FROM documents"
+
+ORACLES["path_filter"] = f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, file_path FROM ({_DOC_FILES})
+WHERE NOT list_has_any(string_split(file_path, '/'), {_IGN})
+  AND lower({S.suffix('file_path')}) IN {_EXT}"""
+
+ORACLES["detect_language"] = f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, file_path, {S.language('file_path')} AS language
+FROM ({_DOC_FILES})"""
+
+ORACLES["decode_text"] = """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, text AS content, CAST(length(text) AS BIGINT) AS n_chars
+FROM documents WHERE length(text) > 0"""
+
+ORACLES["path_tokens"] = f"""
+SELECT CAST(page_id AS BIGINT) AS page_id, {S.path_tokens('url')} AS path_tokens FROM pages"""
+
+ORACLES["normalize_text"] = f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, {S.fold('text')} AS folded FROM documents"""
+
+ORACLES["index_name"] = f"""
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, {S.index_name('p_name', _PREFIX)} AS index_name
+FROM part"""
+
+ORACLES["search_text"] = f"""
+WITH d AS (
+  SELECT doc_id, text, {FX.DOC_MD_PATH} AS fp,
+         CASE WHEN lang = 'de' THEN concat('Doc', CAST(doc_id AS STRING)) END AS sym,
+         CASE WHEN lang IN ('de', 'es') THEN 'section' END AS styp
+  FROM documents)
+SELECT CAST(doc_id AS BIGINT) AS doc_id,
+       {S.search_text_sql('fp', S.language('fp'), S.path_tokens('fp'), 'text', 'sym', 'styp')}
+         AS search_text
+FROM d"""
+
+ORACLES["snippet"] = f"""
+WITH c AS (SELECT doc_id, text,
+                  trim(regexp_replace(text, '{S.WS_RE}+', ' ', 'g'), ' ') AS cc FROM documents)
+SELECT CAST(doc_id AS BIGINT) AS doc_id,
+       CASE WHEN length(cc) <= 400 THEN cc ELSE rtrim(substr(cc, 1, 397), ' ') || '...' END
+         AS snippet,
+       CAST(length(left(text, 2000)) AS BIGINT) AS preview_chars
+FROM c"""
+
+ORACLES["query_dedupe"] = f"""
+WITH asked AS (
+  SELECT conv_id, text FROM conversations WHERE role = 'user'
+  UNION ALL
+  SELECT conv_id, replace(replace(text, ' ', '  '), chr(10), chr(9) || chr(10) || ' ')
+  FROM conversations WHERE role = 'user')
+SELECT trim(regexp_replace(text, '{S.WS_RE}+', ' ', 'g'), ' ') AS query_key,
+       CAST(count(*) AS BIGINT) AS n, CAST(min(conv_id) AS BIGINT) AS first_conv
+FROM asked GROUP BY 1"""
+
+# ---------------------------------------------------------------------------------------------
+# Chunking and structure.
+# ---------------------------------------------------------------------------------------------
+
+_PARA = f"SELECT doc_id, {FX.DOC_PARAGRAPHS} AS text FROM documents"
+
+ORACLES["chunk_text"] = "WITH RECURSIVE src AS (" + _PARA + ")," \
+    + S.chunk_ctes("src", ["doc_id"], "text").rstrip() + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(piece_index AS BIGINT) AS piece_index, content,
+       CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset
+FROM ck_out"""
+
+ORACLES["chunk_lines"] = "WITH RECURSIVE src AS (" + _PARA + ")," \
+    + S.chunk_ctes("src", ["doc_id"], "text").rstrip() + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(piece_index AS BIGINT) AS piece_index,
+       CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line
+FROM ck_out"""
+
+_NL = "chr(10)"
+_SPANS = f"""
+spans AS (
+  SELECT p_partkey, 0 AS span_ord, {FX.PART_CLASS} AS name, 'class' AS symbol_type,
+         2 AS start_line, 4 AS end_line,
+         concat('class ', {FX.PART_CLASS}, ':', {_NL}, '    def ', {FX.PART_METHOD}, '(self):',
+                {_NL}, '        return ', CAST(p_size AS STRING)) AS text
+  FROM part WHERE NOT ({FX.PART_BROKEN})
+  UNION ALL
+  SELECT p_partkey, 1, concat({FX.PART_CLASS}, '.', {FX.PART_METHOD}), 'method', 3, 4,
+         concat('def ', {FX.PART_METHOD}, '(self):', {_NL}, '        return ',
+                CAST(p_size AS STRING))
+  FROM part WHERE NOT ({FX.PART_BROKEN})
+  UNION ALL
+  SELECT p_partkey, 2, {FX.PART_FUNC}, 'function', 6, 7,
+         concat('def ', {FX.PART_FUNC}, '():', {_NL}, '    pass')
+  FROM part WHERE NOT ({FX.PART_BROKEN}))"""
+
+ORACLES["symbol_spans"] = "WITH " + _SPANS.strip() + """
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(span_ord AS BIGINT) AS span_ord, name,
+       symbol_type, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line,
+       text
+FROM spans"""
+
+ORACLES["module_gaps"] = f"""
+WITH s AS (SELECT user_id, {FX.EVENT_START} AS a, {FX.EVENT_END} AS b FROM events),
+s2 AS (SELECT user_id, a, max(b) AS b FROM s GROUP BY user_id, a),
+c AS (SELECT *, greatest(1, coalesce(max(b) OVER (PARTITION BY user_id ORDER BY a
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 1)) AS cursor FROM s2)
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(cursor AS BIGINT) AS gap_start,
+       CAST(a - 1 AS BIGINT) AS gap_end FROM c WHERE a > cursor
+UNION ALL
+SELECT CAST(user_id AS BIGINT), CAST(greatest(1, max(b) + 1) AS BIGINT), {FX.EVENT_LINES}
+FROM s GROUP BY user_id HAVING greatest(1, max(b) + 1) <= {FX.EVENT_LINES}"""
+
+_PY_CHUNKS = f"""
+py_files AS (
+  SELECT p_partkey, p_brand AS project, {FX.PART_PATH} AS file_path, {FX.PART_SOURCE} AS content,
+         {FX.PART_BROKEN} AS broken
+  FROM part),
+py_chunks AS (
+  SELECT f.project, f.file_path, s.span_ord AS chunk_index, s.text AS content, s.name AS symbol_name,
+         s.symbol_type, s.start_line, s.start_line + {S.nl_count('s.text')} AS end_line
+  FROM py_files f JOIN spans s ON s.p_partkey = f.p_partkey
+  UNION ALL
+  SELECT project, file_path, 3, concat('# part ', CAST(p_partkey AS STRING)), NULL, 'module', 1, 1
+  FROM py_files WHERE NOT broken
+  UNION ALL
+  SELECT project, file_path, 0, {S.strip('content')}, NULL, 'module', 1,
+         1 + {S.nl_count(S.strip('content'))}
+  FROM py_files WHERE broken)"""
+
+ORACLES["structured_chunks"] = "WITH RECURSIVE " + _SPANS.strip() + "," + _PY_CHUNKS + "," + f"""
+md_src AS (SELECT source AS project, {FX.DOC_MD_PATH} AS file_path, {FX.DOC_PARAGRAPHS} AS text
+           FROM documents),""" + S.chunk_ctes("md_src", ["project", "file_path"], "text").rstrip() \
+    + f""",
+all_chunks AS (
+  SELECT project, file_path, chunk_index, 'py' AS language, content, symbol_name, symbol_type,
+         start_line, end_line FROM py_chunks
+  UNION ALL
+  SELECT project, file_path, piece_index, 'md', content, NULL, NULL, start_line, end_line
+  FROM ck_out)
+SELECT project, file_path, CAST(chunk_index AS BIGINT) AS chunk_index, language, content,
+       {S.path_tokens('file_path')} AS path_tokens, symbol_name, symbol_type,
+       CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line
+FROM all_chunks"""
+
+ORACLES["build_chunks"] = "WITH RECURSIVE " + f"""
+kept AS (
+  SELECT 'corpus' AS project, file_path, text FROM ({_DOC_FILES})
+  WHERE NOT list_has_any(string_split(file_path, '/'), {_IGN})
+    AND lower({S.suffix('file_path')}) IN {_EXT} AND length(text) > 0),""" \
+    + S.chunk_ctes("kept", ["project", "file_path"], "text").rstrip() + f""",
+typed AS (
+  SELECT *, {S.language('file_path')} AS language,
+         CASE WHEN {S.language('file_path')} = 'py' THEN 'module' END AS symbol_type,
+         {S.path_tokens('file_path')} AS path_tokens
+  FROM ck_out)
+SELECT project, file_path, CAST(piece_index AS BIGINT) AS chunk_index, language, symbol_type,
+       CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, content,
+       {S.search_text_sql('file_path', 'language', 'path_tokens', 'content', 'NULL', 'symbol_type')}
+         AS search_text
+FROM typed"""
+
+# ---------------------------------------------------------------------------------------------
+# Embedding, index and registry.
+# ---------------------------------------------------------------------------------------------
+
+ORACLES["embed_hash"] = """
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t
+             FROM documents),
+b AS (SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 512 AS BIGINT) AS bucket
+      FROM tok),
+c AS (SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM b GROUP BY ALL),
+nrm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)
+SELECT CAST(c.doc_id AS BIGINT) AS doc_id, bucket, round(n / norm, 6) AS weight
+FROM c JOIN nrm USING (doc_id)"""
+
+ORACLES["chunk_vectors"] = """
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, d.lang || '/doc' || CAST(d.doc_id AS VARCHAR) || '.txt'
+         AS file_path,
+       e.vec_id IS NOT NULL AS has_vector, CAST(len(e.embedding) AS BIGINT) AS dim,
+       round(sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x))), 6) AS norm
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
+
+ORACLES["index_refresh"] = """
+SELECT d.source AS project, d.lang || '/doc' || CAST(d.doc_id AS VARCHAR) || '.txt' AS file_path,
+       CAST(0 AS BIGINT) AS chunk_index,
+       d.lang || '/doc' || CAST(d.doc_id AS VARCHAR) || '.txt#0' AS chunk_key,
+       CAST(len(e.embedding) AS BIGINT) AS dim
+FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+WHERE NOT (d.source = 'src0' AND d.lang <> 'en')"""
+
+ORACLES["index_summary"] = "WITH RECURSIVE " + f"""
+md_src AS (SELECT source AS project, {FX.DOC_MD_PATH} AS file_path, {FX.DOC_PARAGRAPHS} AS text
+           FROM documents),""" + S.chunk_ctes("md_src", ["project", "file_path"], "text").rstrip() \
+    + """,
+per AS (SELECT project, count(DISTINCT file_path) AS files, count(*) AS chunks FROM ck_out
+        GROUP BY project),
+reg AS (SELECT 'src' || CAST(n_nationkey AS VARCHAR) AS project FROM nation)
+SELECT r.project, CAST(coalesce(p.files, 0) AS BIGINT) AS files_indexed,
+       CAST(coalesce(p.chunks, 0) AS BIGINT) AS chunks_indexed,
+       CASE WHEN p.chunks > 0 THEN 'ok' ELSE 'no_chunks' END AS status
+FROM reg r LEFT JOIN per p ON p.project = r.project"""
+
+_T0 = f"TIMESTAMP '{FX.REGISTRY_T0}'"
+_NOW = f"TIMESTAMP '{FX.REGISTRY_NOW}'"
+_CUR = f"""
+cur AS (
+  SELECT n_name AS name, {FX.NATION_PROJECT_PATH} AS project_path,
+         {S.index_name('n_name', _PREFIX)} AS index_name,
+         {_T0} + to_hours(n_nationkey) AS created_at, {_T0} + to_hours(n_nationkey) AS updated_at,
+         CASE WHEN n_regionkey = 0 THEN NULL ELSE {_T0} + to_days(n_nationkey) END
+           AS last_indexed_at,
+         CAST(n_nationkey * 10 AS BIGINT) AS cnt
+  FROM nation)"""
+
+
+def _fmt(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+_UPSERT = "WITH " + _CUR.strip() + f""",
+inc0 AS (SELECT {FX.SUPPLIER_PROJECT} AS name, {FX.SUPPLIER_PATH} AS project_path,
+                s_suppkey AS seq
+         FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+inc AS (SELECT name, project_path FROM (
+          SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS r FROM inc0)
+        WHERE r = 1),
+up AS (
+  SELECT coalesce(c.name, i.name) AS name,
+         CASE WHEN i.name IS NOT NULL THEN i.project_path ELSE c.project_path END AS project_path,
+         CASE WHEN i.name IS NOT NULL THEN {S.index_name('coalesce(c.name, i.name)', _PREFIX)}
+              ELSE c.index_name END AS index_name,
+         coalesce(c.created_at, {_NOW}) AS created_at,
+         CASE WHEN i.name IS NOT NULL THEN {_NOW} ELSE c.updated_at END AS updated_at,
+         c.last_indexed_at, coalesce(c.cnt, 0) AS cnt
+  FROM cur c FULL OUTER JOIN inc i ON c.name = i.name)"""
+
+ORACLES["project_upsert"] = _UPSERT + f"""
+SELECT name, project_path, index_name, {_fmt('created_at')} AS created_at,
+       {_fmt('updated_at')} AS updated_at, {_fmt('last_indexed_at')} AS last_indexed_at,
+       CAST(cnt AS BIGINT) AS last_indexed_chunk_count
+FROM up"""
+
+ORACLES["project_list"] = _UPSERT + f"""
+SELECT name, project_path, {_fmt('last_indexed_at')} AS last_indexed_at,
+       CAST(cnt AS BIGINT) AS last_indexed_chunk_count
+FROM up"""
+
+ORACLES["project_stamp"] = "WITH " + _CUR.strip() + f""",
+summ AS (
+  SELECT n_name AS project, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  WHERE s_acctbal > 0 GROUP BY n_name
+  UNION ALL SELECT 'region-' || r_name, 1 FROM region)
+SELECT c.name, c.project_path, c.index_name, {_fmt('c.created_at')} AS created_at,
+       {_fmt(f'CASE WHEN s.n IS NOT NULL THEN {_NOW} ELSE c.updated_at END')} AS updated_at,
+       {_fmt(f'CASE WHEN s.n IS NOT NULL THEN {_NOW} ELSE c.last_indexed_at END')}
+         AS last_indexed_at,
+       CAST(CASE WHEN s.n IS NOT NULL THEN s.n ELSE c.cnt END AS BIGINT)
+         AS last_indexed_chunk_count
+FROM cur c LEFT JOIN summ s ON s.project = c.name"""
+
+ORACLES["project_remove"] = "WITH " + _CUR.strip() + """,
+rem AS (SELECT DISTINCT name FROM (
+          SELECT n_name AS name FROM nation WHERE n_regionkey = 1
+          UNION ALL SELECT 'zone-' || r_name FROM region))
+SELECT r.name, c.cnt IS NOT NULL AS ok, CAST(coalesce(c.cnt, 0) AS BIGINT) AS chunks_deleted,
+       'removed' AS state
+FROM rem r LEFT JOIN cur c ON c.name = r.name
+UNION ALL
+SELECT name, NULL, NULL, 'kept' FROM cur WHERE name NOT IN (SELECT name FROM rem)"""
+
+ORACLES["registry_lookup"] = f"""
+WITH reg AS (SELECT DISTINCT source AS name FROM documents),
+req AS (SELECT item_id AS query_id, 'src' || CAST(item_id % 23 AS VARCHAR) AS project
+        FROM benchmark)
+SELECT CAST(q.query_id AS BIGINT) AS query_id, q.project,
+       CASE WHEN r.name IS NULL THEN 'not_registered' ELSE 'ok' END AS status,
+       CASE WHEN r.name IS NOT NULL THEN {S.index_name('r.name', _PREFIX)} END AS index_name
+FROM req q LEFT JOIN reg r ON r.name = q.project"""

@@ -160,3 +160,61 @@ def hint_regex_sql() -> str:
 
 __all__ = ["WS_RE", "WS_SQL", "q", "fold", "strip", "nl_count", "path_tokens", "search_ctes",
            "RESULT_SELECT", "hint_regex_sql", "query_terms_ctes"]
+
+
+def suffix(path: str) -> str:
+    return f"regexp_extract(regexp_extract({path}, '[^/]*$', 0), '^.+(\\.[^.]+)$', 1)"
+
+
+def language(path: str) -> str:
+    return f"coalesce(nullif(substr(lower({suffix(path)}), 2), ''), 'text')"
+
+
+def slug(x: str) -> str:
+    return (f"coalesce(nullif(trim(regexp_replace({fold(x)}, '[^a-z0-9]+', '-', 'g'), '-'), ''),"
+            f" 'project')")
+
+
+def index_name(x: str, prefix_slug: str) -> str:
+    return (f"regexp_replace(left(concat_ws('-', '{prefix_slug[:20]}', left({slug(x)}, 28), "
+            f"left(sha1({x}), 8)), 63), '-+$', '')")
+
+
+def chunk_ctes(src: str, keys: list[str], text: str, prefix: str = "ck", max_chars: int = 1600,
+               overlap: int = 200, min_offset: int = 200) -> str:
+    """Recursive restatement of the window chunker: CTE ``{prefix}_out(keys, piece_index,
+    content, start_line, end_line, start_offset, end_offset)`` (lines relative to base 1)."""
+    from quarry.functions.text import NON_WS_CLASS
+
+    k = ", ".join(keys)
+    hint = hint_regex_sql()
+    nxt = f"greatest(e2 - {overlap}, start + 1)"
+    return f"""
+{prefix}_in AS (SELECT {k}, {strip(text)} AS t FROM {src}),
+{prefix}_steps({k}, t, n, start, nl, done, s, e, sl, el, keep) AS (
+  SELECT {k}, t, CAST(length(t) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), length(t) = 0,
+         NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, false
+  FROM {prefix}_in
+  UNION ALL
+  SELECT {k}, t, n, {nxt}, nl + {nl_count(f"substr(t, start + 1, {nxt} - start)")}, e2 >= n,
+         start, e2, nl + 1, nl + 1 + {nl_count("substr(t, start + 1, greatest(e2 - 1 - start, 0))")},
+         regexp_matches(substr(t, start + 1, e2 - start), '{NON_WS_CLASS}')
+  FROM (SELECT *, CASE WHEN e0 < n AND cut > {min_offset} THEN start + cut ELSE e0 END AS e2
+        FROM (SELECT *, least(start + {max_chars}, n) AS e0,
+                     length(regexp_extract(substr(t, start + 1, least(start + {max_chars}, n) - start),
+                                           '{hint}', 1)) AS cut
+              FROM {prefix}_steps WHERE NOT done) {prefix}_x) {prefix}_y),
+{prefix}_out AS (
+  SELECT {k}, row_number() OVER (PARTITION BY {k} ORDER BY s) - 1 AS piece_index,
+         {strip("substr(t, s + 1, e - s)")} AS content, sl AS start_line, el AS end_line,
+         s AS start_offset, e AS end_offset
+  FROM {prefix}_steps WHERE s IS NOT NULL AND keep)"""
+
+
+def search_text_sql(fp: str, lang: str, ptok: str, content: str, sym: str, styp: str) -> str:
+    def lab(label, c):
+        return f"CASE WHEN length({c}) > 0 THEN '{label}' || {c} END"
+
+    return (f"concat_ws({NL}, 'file_path: ' || {fp}, 'language: ' || {lang}, "
+            f"{lab('symbol_name: ', sym)}, {lab('symbol_type: ', styp)}, "
+            f"{lab('path_tokens: ', ptok)}, 'content:', nullif({strip(content)}, ''))")

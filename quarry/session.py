@@ -60,3 +60,16 @@ def local_path(path: str) -> str:
 def ensure_dir(path: str) -> None:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(local_path(path), exist_ok=True)
+
+
+def spread(df):
+    """Round-robin ``df`` over the cluster's cores when it has fewer input partitions than cores.
+
+    Small inputs stored as one Parquet row group scan as a single task; CPU-heavy per-row text
+    work (folding, chunking, parsing, hashing) would then use one core. On a cluster reading
+    large inputs there are already more splits than cores and this is a no-op (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

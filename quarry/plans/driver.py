@@ -92,9 +92,15 @@ def bench_queries(spark: SparkSession, sf_dir: str, limit=None, min_score=None)
 # Per-query thresholds 0.437 / 0.694 / 0.951 / 1.208. None may equal a score that occurs exactly:
 # a self-match scores 1.0 up to the last ulp of the cosine (BLAS and DuckDB sum in different
 # orders) and lexical bonuses are multiples of 0.005, so thresholds stay off that lattice.
-FALLBACK_MIN = F.lit(0.437) + F.lit(0.257) * F.pmod(F.col("query_id"), F.lit(4))
+def fallback_min() -> F.Column:
+    return F.lit(0.437) + F.lit(0.257) * F.pmod(F.col("query_id"), F.lit(4))
+
+
 FALLBACK_MIN_SQL = "(0.437::DOUBLE + 0.257::DOUBLE * (b.item_id % 4))"
-VARIED_LIMIT = F.lit(3) + F.pmod(F.col("query_id"), F.lit(4))
+def varied_limit() -> F.Column:
+    return F.lit(3) + F.pmod(F.col("query_id"), F.lit(4))
+
+
 VARIED_LIMIT_SQL = "(3 + b.item_id % 4)"
 
 
@@ -113,13 +119,13 @@ def q_search_code(spark, sf_dir):
 
 
 def q_search_fallback(spark, sf_dir):
-    queries = bench_queries(spark, sf_dir, limit=VARIED_LIMIT, min_score=FALLBACK_MIN)
+    queries = bench_queries(spark, sf_dir, limit=varied_limit(), min_score=fallback_min())
     results, _ = srch.search(doc_index(spark, sf_dir), queries)
     return _result_view(results)
 
 
 def q_search_summary(spark, sf_dir):
-    queries = bench_queries(spark, sf_dir, limit=VARIED_LIMIT, min_score=FALLBACK_MIN)
+    queries = bench_queries(spark, sf_dir, limit=varied_limit(), min_score=fallback_min())
     _, summary = srch.search(doc_index(spark, sf_dir), queries)
     return normalise_output(summary)
 
@@ -133,11 +139,9 @@ def q_lexical_bonus(spark, sf_dir):
     """Bonus detail for every retrieved candidate (before thresholds)."""
     prepared = srch.prepare_queries(bench_queries(spark, sf_dir))
     index = doc_index(spark, sf_dir)
-    hits = srch.retrieve(index, prepared)
-    meta = index.drop("embedding")
-    cands = hits.join(prepared.select("query_id", "project", "terms", "folded_query"),
-                      "query_id") \
-        .join(meta, srch.INDEX_KEY)
+    hits = srch.retrieve(index, prepared).join(prepared.select("query_id", "project"), "query_id")
+    cands = srch.attach_metadata(index, hits).join(
+        prepared.select("query_id", "terms", "folded_query"), "query_id")
     from quarry.operators.lexical import with_lexical_bonus
     scored = with_lexical_bonus(cands, detail=True)
     return normalise_output(scored.select(

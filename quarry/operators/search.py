@@ -58,18 +58,18 @@ def retrieve(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_
 CANDIDATE_ROW_BYTES = 256  # key columns of one candidate row, generous
 
 
-def attach_metadata(index: DataFrame, hits: DataFrame,
+def attach_metadata(index: DataFrame, hits: DataFrame, n_queries: int,
                     settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """Join candidate keys to their index rows without shuffling the index.
 
     Candidates number at most ``queries x 100``; when that bound times the key size stays under
     ``knn_broadcast_max_bytes`` the candidate keys are broadcast and the index is only scanned
-    (pruned to the queried projects). Above the bound a shuffle join is used.
+    (pruned to the queried projects). Above the bound a shuffle join is used. ``n_queries`` is
+    counted on the (small) query table, never on ``hits``, which would re-run the retrieval.
     """
     meta = index.select(*INDEX_KEY, "language", "content", "path_tokens", "symbol_name",
                         "symbol_type", "start_line", "end_line")
     keys = hits.select("query_id", *INDEX_KEY, "distance")
-    n_queries = hits.select("query_id").distinct().count()
     if n_queries * MAX_CANDIDATES * CANDIDATE_ROW_BYTES <= settings.knn_broadcast_max_bytes:
         keys = F.broadcast(keys)
     return meta.join(keys, INDEX_KEY)
@@ -115,8 +115,9 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     hits = retrieve(index, active, settings)
     qinfo = active.select("query_id", "project", "eff_limit", "eff_min_score", "terms",
                           "folded_query")
+    n_queries = active.count()
     cands = attach_metadata(index, hits.join(qinfo.select("query_id", "project"), "query_id"),
-                            settings).join(qinfo.drop("project"), "query_id")
+                            n_queries, settings).join(qinfo.drop("project"), "query_id")
     ranked = rank_candidates(cands, settings)
     # Rows at or above the threshold are a prefix of the score order, so the rank stands.
     results = ranked.where((F.col("score") >= F.col("threshold"))

@@ -88,8 +88,7 @@ def _reduce(cands: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------------------------------------
 
 
-def _collect_query_block(block: DataFrame, group_col, query_id: str, emb: str, k_col: str):
-    table = block.toArrow()
+def _collect_query_block(table: pa.Table, group_col, query_id: str, emb: str, k_col: str):
     payload: dict = {}
     if table.num_rows == 0:
         return payload
@@ -165,14 +164,38 @@ def _scan_fn(bc, group_col, id_cols, emb, metric, out_schema):
     return run
 
 
-def knn_exact(index: DataFrame, queries: DataFrame, k, *, id_cols, group_col: str | None = None,
-              query_id: str = "query_id", embedding: str = "embedding", metric: str = "cosine",
-              settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
-    """Exact top-k neighbours of every query row among index rows of the same group.
+# Dimension assumed when sizing the first collect of the query block before the dimension is known.
+ASSUMED_MAX_DIM = 4096
 
-    Returns ``(query_id, *id_cols, distance, rank)``; ``rank`` counts from 1 per query ordered by
-    distance, then the id columns. ``k`` is an int or the name of a per-query column.
+
+def _query_blocks(qsel: DataFrame, query_id: str, settings: Settings):
+    """Arrow tables of query rows, each within ``knn_broadcast_max_bytes``; and the row count.
+
+    Common case, one job: up to ``budget / (8 * ASSUMED_MAX_DIM)`` rows are collected directly and
+    their real size checked. Larger query tables are counted, then split by a hash of the query id
+    into blocks that each fit, and collected block by block.
     """
+    budget = settings.knn_broadcast_max_bytes
+    cap = max(1, budget // (8 * ASSUMED_MAX_DIM))
+    first = qsel.limit(cap + 1).toArrow()
+    if first.num_rows <= cap:
+        dims = pc.list_value_length(first.column("_emb").combine_chunks())
+        dim = int(pc.max(dims).as_py() or 0) if first.num_rows else 0
+        if first.num_rows * dim * 8 <= budget:
+            return ([first] if first.num_rows else []), first.num_rows
+    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_emb")).alias("dim")).first()
+    n, dim = int(stats["n"]), int(stats["dim"] or 0)
+    blocks = max(1, math.ceil(n * dim * 8 / budget))
+    tables = [qsel.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).toArrow()
+              for b in range(blocks)]
+    return [t for t in tables if t.num_rows], n
+
+
+def knn_exact_counted(index: DataFrame, queries: DataFrame, k, *, id_cols,
+                      group_col: str | None = None, query_id: str = "query_id",
+                      embedding: str = "embedding", metric: str = "cosine",
+                      settings: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame, int]:
+    """``knn_exact`` plus the number of query rows (known from collecting the query block)."""
     spark = index.sparkSession
     id_cols = list(id_cols)
     k_expr = F.lit(int(k)) if isinstance(k, int) else F.col(k)
@@ -182,8 +205,6 @@ def knn_exact(index: DataFrame, queries: DataFrame, k, *, id_cols, group_col: st
     qsel = queries.select(*sel, F.col(embedding).alias("_emb"), k_expr.cast("int").alias("_k")) \
         .where(F.col("_emb").isNotNull())
 
-    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_emb")).alias("dim")).first()
-    n, dim = int(stats["n"]), int(stats["dim"] or 0)
     idx_fields = {f.name: f for f in index.schema.fields}
     arrow_fields = [pa.field("query_id", pa.int64())]
     from pyspark.sql.pandas.types import to_arrow_type
@@ -195,18 +216,12 @@ def knn_exact(index: DataFrame, queries: DataFrame, k, *, id_cols, group_col: st
         [T.StructField("query_id", T.LongType())]
         + [T.StructField(name, idx_fields[name].dataType) for name in id_cols]
         + [T.StructField("distance", T.DoubleType()), T.StructField("k", T.IntegerType())])
-    if n == 0:
-        return spark.createDataFrame([], out_struct).withColumn("rank", F.lit(0))
 
-    blocks = max(1, math.ceil(n * dim * 8 / settings.knn_broadcast_max_bytes))
+    tables, n = _query_blocks(qsel, query_id, settings)
     idx_cols = ([group_col] if group_col else []) + id_cols + [embedding]
     parts = []
-    for b in range(blocks):
-        block = qsel if blocks == 1 else qsel.where(
-            F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        payload = _collect_query_block(block, group_col, query_id, "_emb", "_k")
-        if not payload:
-            continue
+    for table in tables:
+        payload = _collect_query_block(table, group_col, query_id, "_emb", "_k")
         scan = index.select(*idx_cols)
         if group_col:
             scan = scan.where(F.col(group_col).isin(list(payload.keys())))
@@ -214,13 +229,27 @@ def knn_exact(index: DataFrame, queries: DataFrame, k, *, id_cols, group_col: st
         parts.append(scan.mapInArrow(
             _scan_fn(bc, group_col, id_cols, embedding, metric, out_arrow), out_struct))
     if not parts:
-        return spark.createDataFrame([], out_struct).withColumn("rank", F.lit(0))
+        empty = spark.createDataFrame([], out_struct).withColumn("rank", F.lit(0))
+        return empty.drop("k").withColumnRenamed("query_id", query_id), n
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
     w = Window.partitionBy("query_id").orderBy("distance", *id_cols)
     ranked = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
-    return ranked.drop("k").withColumnRenamed("query_id", query_id)
+    return ranked.drop("k").withColumnRenamed("query_id", query_id), n
+
+
+def knn_exact(index: DataFrame, queries: DataFrame, k, *, id_cols, group_col: str | None = None,
+              query_id: str = "query_id", embedding: str = "embedding", metric: str = "cosine",
+              settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
+    """Exact top-k neighbours of every query row among index rows of the same group.
+
+    Returns ``(query_id, *id_cols, distance, rank)``; ``rank`` counts from 1 per query ordered by
+    distance, then the id columns. ``k`` is an int or the name of a per-query column.
+    """
+    return knn_exact_counted(index, queries, k, id_cols=id_cols, group_col=group_col,
+                             query_id=query_id, embedding=embedding, metric=metric,
+                             settings=settings)[0]
 
 
 # ---------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_SETTINGS, MAX_CANDIDATES, Settings
 from quarry.functions import text as tx
-from quarry.operators.knn import knn_exact
+from quarry.operators.knn import knn_exact_counted
 from quarry.operators.lexical import with_lexical_bonus, with_query_terms
 
 INDEX_KEY = ["project", "file_path", "chunk_index"]
@@ -49,10 +49,17 @@ def prepare_queries(queries: DataFrame, settings: Settings = DEFAULT_SETTINGS) -
     return with_query_terms(out, "query")
 
 
+def retrieve_counted(index: DataFrame, queries: DataFrame,
+                     settings: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame, int]:
+    """Top-k candidates per query (k from the ``k`` column) inside the query's project, and the
+    number of queries."""
+    return knn_exact_counted(index, queries, "k", id_cols=["file_path", "chunk_index"],
+                             group_col="project", metric=settings.distance_metric,
+                             settings=settings)
+
+
 def retrieve(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
-    """Top-k candidates per query (k from the ``k`` column) inside the query's project."""
-    return knn_exact(index, queries, "k", id_cols=["file_path", "chunk_index"],
-                     group_col="project", metric=settings.distance_metric, settings=settings)
+    return retrieve_counted(index, queries, settings)[0]
 
 
 CANDIDATE_ROW_BYTES = 256  # key columns of one candidate row, generous
@@ -112,10 +119,9 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     else:
         prepared = prepared.withColumn("registered", F.lit(True))
     active = prepared.where("registered")
-    hits = retrieve(index, active, settings)
+    hits, n_queries = retrieve_counted(index, active, settings)
     qinfo = active.select("query_id", "project", "eff_limit", "eff_min_score", "terms",
                           "folded_query")
-    n_queries = active.count()
     cands = attach_metadata(index, hits.join(qinfo.select("query_id", "project"), "query_id"),
                             n_queries, settings).join(qinfo.drop("project"), "query_id")
     ranked = rank_candidates(cands, settings)

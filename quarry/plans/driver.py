@@ -139,8 +139,9 @@ def q_lexical_bonus(spark, sf_dir):
     """Bonus detail for every retrieved candidate (before thresholds)."""
     prepared = srch.prepare_queries(bench_queries(spark, sf_dir))
     index = doc_index(spark, sf_dir)
-    hits = srch.retrieve(index, prepared).join(prepared.select("query_id", "project"), "query_id")
-    cands = srch.attach_metadata(index, hits, prepared.count()).join(
+    hits, n_queries = srch.retrieve_counted(index, prepared)
+    hits = hits.join(prepared.select("query_id", "project"), "query_id")
+    cands = srch.attach_metadata(index, hits, n_queries).join(
         prepared.select("query_id", "terms", "folded_query"), "query_id")
     from quarry.operators.lexical import with_lexical_bonus
     scored = with_lexical_bonus(cands, detail=True)

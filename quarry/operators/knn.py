@@ -281,7 +281,8 @@ def lsh_signatures(df: DataFrame, embedding: str, *, dim: int, bands: int = 8, b
             yield pa.RecordBatch.from_arrays(batch.columns + [sig], names=batch.schema.names + ["_sig"])
 
     signed = df.mapInArrow(run, schema)
-    return signed.select(*df.columns, F.posexplode("_sig").alias("band", "bucket"))
+    return signed.select(*df.columns, F.posexplode_outer("_sig").alias("band", "bucket")) \
+        .where(F.col("band").isNotNull())
 
 
 def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id: str = "query_id",

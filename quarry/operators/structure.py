@@ -75,9 +75,11 @@ def structured_chunks(files: DataFrame, settings: Settings = DEFAULT_SETTINGS) -
                                     p["end_line"].alias("end_line"),
                                     sec["symbol_name"].alias("symbol_name"),
                                     sec["symbol_type"].alias("symbol_type")))))
+    # posexplode_outer: a plain posexplode makes the optimizer infer ``size(pieces) > 0`` and
+    # push it below any exchange, evaluating the whole chunking (and the parser) twice.
     exploded = staged.select(
         "project", "file_path", "language",
-        F.posexplode(pieces).alias("chunk_index", "c"))
+        F.posexplode_outer(pieces).alias("chunk_index", "c")).where(F.col("chunk_index").isNotNull())
     return exploded.select(
         "project", "file_path", "chunk_index", "language",
         F.col("c.content").alias("content"),

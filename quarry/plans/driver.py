@@ -188,8 +188,8 @@ def q_query_terms(spark, sf_dir):
         F.lit("conversation").alias("origin"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
     terms = bench.unionByName(conv).select(
-        "origin", "qid", F.explode(query_terms_from_tokens(query_tokens(tx.fold("text"))))
-        .alias("term"))
+        "origin", "qid", F.explode_outer(query_terms_from_tokens(query_tokens(tx.fold("text"))))
+        .alias("term")).where(F.col("term").isNotNull())
     return normalise_output(terms)
 
 
@@ -197,7 +197,7 @@ def q_synonym_expand(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     toks = query_tokens(tx.fold("text"))
     return normalise_output(docs.select(
-        "doc_id", F.explode(synonym_terms(toks)).alias("term")))
+        "doc_id", F.explode_outer(synonym_terms(toks)).alias("term")).where(F.col("term").isNotNull()))
 
 
 
@@ -338,8 +338,8 @@ def _part_sources(spark, sf_dir):
 
 def q_symbol_spans(spark, sf_dir):
     parts = _part_sources(spark, sf_dir)
-    spans = parts.select("p_partkey", F.posexplode(sy.symbol_spans("content", F.lit(True)))
-                         .alias("span_ord", "s"))
+    spans = parts.select("p_partkey", F.posexplode_outer(sy.symbol_spans("content", F.lit(True)))
+                         .alias("span_ord", "s")).where(F.col("span_ord").isNotNull())
     return normalise_output(spans.select(
         "p_partkey", "span_ord", F.col("s.name").alias("name"),
         F.col("s.symbol_type").alias("symbol_type"), F.col("s.start_line").alias("start_line"),
@@ -391,7 +391,7 @@ def q_embed_hash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     vec = docs.select("doc_id", em.hashed_embedding("text", 512, precision="double")
                       .alias("embedding"))
-    out = vec.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")) \
+    out = vec.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "weight")) \
         .where(F.col("weight") != 0)
     return normalise_output(out)
 

@@ -99,6 +99,8 @@ class Settings:
     preview_chars: int = 2000
     # Upper bound for the query block shipped to every task by the exact kNN operator.
     knn_broadcast_max_bytes: int = 256 * 1024 * 1024
+    # Above this many index partitions the partial top-k rows are merged in two levels.
+    knn_reduce_fanout: int = 512
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

@@ -234,11 +234,30 @@ def knn_exact_counted(index: DataFrame, queries: DataFrame, k, *, id_cols,
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
+    n_parts = sum(p.rdd.getNumPartitions() for p in parts)
+    cands = _tree_reduce(cands, id_cols, n_parts, settings.knn_reduce_fanout)
     w = Window.partitionBy("query_id").orderBy("distance", *id_cols)
     ranked = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
     return ranked.drop("k").withColumnRenamed("query_id", query_id), n
 
 
+def _tree_reduce(cands: DataFrame, id_cols: list[str], n_parts: int, fanout: int) -> DataFrame:
+    """First merge level for very wide scans.
+
+    Every scan task emits up to k rows per query, so the final per-query group would hold
+    ``n_parts * k`` rows. Above ``fanout`` tasks, rows are first ranked within
+    ``(query, shard)`` where ``shard`` groups about ``sqrt(n_parts)`` scan tasks, keeping k per
+    group; the final window then sees ``sqrt(n_parts) * k`` rows per query.
+    """
+    if n_parts <= fanout:
+        return cands
+    shards = max(2, int(math.ceil(math.sqrt(n_parts))))
+    sharded = cands.withColumn("_shard", F.pmod(F.spark_partition_id(), F.lit(shards)))
+    w = Window.partitionBy("query_id", "_shard").orderBy("distance", *id_cols)
+    return (sharded.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("k"))
+            .drop("_r", "_shard"))
+
+
 def knn_exact(index: DataFrame, queries: DataFrame, k, *, id_cols, group_col: str | None = None,
               query_id: str = "query_id", embedding: str = "embedding", metric: str = "cosine",
               settings: Settings = DEFAULT_SETTINGS) -> DataFrame:

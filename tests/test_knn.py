@@ -52,3 +52,17 @@ def test_lsh_recall_on_clustered_data(spark):
     e = {(r.query_id, r.vec_id) for r in exact.collect()}
     a = {(r.query_id, r.vec_id) for r in approx.collect()}
     assert len(e & a) / len(e) >= 0.9
+
+
+def test_two_level_merge_matches_single_level(spark):
+    from quarry.config import DEFAULT_SETTINGS
+
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((400, 8)).astype(np.float32)
+    qs = rng.standard_normal((12, 8)).astype(np.float32)
+    index = _frame(spark, base, "vec_id").repartition(16)
+    tree = DEFAULT_SETTINGS.with_(knn_reduce_fanout=1)
+    a = knn_exact(index, _frame(spark, qs, "query_id"), 6, id_cols=["vec_id"], settings=tree)
+    b = knn_exact(index, _frame(spark, qs, "query_id"), 6, id_cols=["vec_id"])
+    key = lambda r: (r.query_id, r["rank"], r.vec_id)
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))

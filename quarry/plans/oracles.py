@@ -379,3 +379,42 @@ SELECT CAST(q.query_id AS BIGINT) AS query_id, q.project,
        CASE WHEN r.name IS NULL THEN 'not_registered' ELSE 'ok' END AS status,
        CASE WHEN r.name IS NOT NULL THEN {S.index_name('r.name', _PREFIX)} END AS index_name
 FROM req q LEFT JOIN reg r ON r.name = q.project"""
+
+# ---------------------------------------------------------------------------------------------
+# End to end: build the index with hashed vectors, then search it.
+# ---------------------------------------------------------------------------------------------
+
+_INDEXED_CANDIDATES = "WITH RECURSIVE " + f"""
+md_src AS (SELECT source AS project, {FX.DOC_MD_PATH} AS file_path, {FX.DOC_PARAGRAPHS} AS text
+           FROM documents),""" + S.chunk_ctes("md_src", ["project", "file_path"], "text").rstrip() \
+    + f""",
+ch AS (
+  SELECT project, file_path, piece_index AS chunk_index, 'md' AS language, content,
+         {S.path_tokens('file_path')} AS path_tokens, NULL::VARCHAR AS symbol_name,
+         NULL::VARCHAR AS symbol_type, start_line, end_line
+  FROM ck_out),
+st AS (SELECT *, {S.search_text_sql('file_path', 'language', 'path_tokens', 'content',
+                                     'symbol_name', 'symbol_type')} AS search_text FROM ch),
+qry AS (
+  SELECT b.item_id AS query_id, d.source AS project, b.text AS query, 5 AS eff_limit,
+         0.10::DOUBLE AS eff_min
+  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),""" \
+    + S.hashed_weights("st", ["project", "file_path", "chunk_index"], "search_text", "cw").rstrip() \
+    + "," + S.hashed_weights("qry", ["query_id"], "query", "qw").rstrip() + """,
+sim AS (
+  SELECT q.query_id, c.file_path, c.chunk_index, sum(q.w * c.w) AS s
+  FROM qw q JOIN qry ON qry.query_id = q.query_id
+  JOIN cw c ON c.project = qry.project AND c.bucket = q.bucket
+  GROUP BY q.query_id, c.file_path, c.chunk_index),
+cand0 AS (
+  SELECT qry.query_id, qry.eff_limit, qry.eff_min, qry.query,
+         least(greatest(qry.eff_limit * 2, qry.eff_limit), 100) AS k,
+         st.project, st.file_path, st.chunk_index, st.language, st.content, st.symbol_name,
+         st.symbol_type, st.start_line, st.end_line, st.path_tokens,
+         1 - coalesce(sim.s, 0.0::DOUBLE) AS distance
+  FROM qry JOIN st ON st.project = qry.project
+  LEFT JOIN sim ON sim.query_id = qry.query_id AND sim.file_path = st.file_path
+                AND sim.chunk_index = st.chunk_index)"""
+
+ORACLES["search_indexed"] = S.search_ctes(candidates=_INDEXED_CANDIDATES).replace(
+    "WITH RECURSIVE", "WITH RECURSIVE", 1) + S.RESULT_SELECT

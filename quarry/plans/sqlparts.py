@@ -90,9 +90,9 @@ qry AS (
   JOIN documents d ON d.doc_id = b.item_id)"""
 
 
-def search_ctes(limit_sql: str = "5", min_sql: str = "0.10::DOUBLE", fallback: float = 0.03,
-                multiplier: int = 2) -> str:
-    """CTEs through ``ranked`` (every candidate, scored, ranked, with its threshold)."""
+def ready_vector_candidates(limit_sql: str, min_sql: str, multiplier: int = 2) -> str:
+    """``qry`` and ``cand0`` (every query x chunk of its project, with the distance) for the
+    document index with ready vectors."""
     return f"""WITH {DOC_INDEX},
 {bench_queries(limit_sql, min_sql)},
 cand0 AS (
@@ -101,7 +101,14 @@ cand0 AS (
          idx.project, idx.file_path, idx.chunk_index, idx.language, idx.content,
          idx.symbol_name, idx.symbol_type, idx.start_line, idx.end_line, idx.path_tokens,
          1 - list_cosine_similarity(qry.v, idx.v) AS distance
-  FROM qry JOIN idx ON idx.project = qry.project),
+  FROM qry JOIN idx ON idx.project = qry.project)"""
+
+
+def search_ctes(limit_sql: str = "5", min_sql: str = "0.10::DOUBLE", fallback: float = 0.03,
+                multiplier: int = 2, candidates: str | None = None) -> str:
+    """CTEs through ``results``; ``candidates`` supplies ``qry`` and ``cand0``."""
+    head = candidates or ready_vector_candidates(limit_sql, min_sql, multiplier)
+    return f"""{head},
 cand AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
                    ORDER BY distance, file_path, chunk_index) AS crank FROM cand0)
@@ -218,3 +225,16 @@ def search_text_sql(fp: str, lang: str, ptok: str, content: str, sym: str, styp:
     return (f"concat_ws({NL}, 'file_path: ' || {fp}, 'language: ' || {lang}, "
             f"{lab('symbol_name: ', sym)}, {lab('symbol_type: ', styp)}, "
             f"{lab('path_tokens: ', ptok)}, 'content:', nullif({strip(content)}, ''))")
+
+
+def hashed_weights(src: str, keys: list[str], text: str, name: str, dim: int = 512) -> str:
+    """CTE ``{name}(keys, bucket, w)``: the L2-normalised hashed bag of words of ``text``."""
+    k = ", ".join(keys)
+    return f"""
+{name}_tok AS (SELECT {k}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS t FROM {src}),
+{name}_cnt AS (SELECT {k}, ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS bucket,
+                      count(*)::DOUBLE AS n
+               FROM {name}_tok GROUP BY ALL),
+{name}_norm AS (SELECT {k}, sqrt(sum(n * n)) AS norm FROM {name}_cnt GROUP BY ALL),
+{name} AS (SELECT {", ".join("c." + x for x in keys)}, c.bucket, c.n / m.norm AS w
+           FROM {name}_cnt c JOIN {name}_norm m USING ({k}))"""

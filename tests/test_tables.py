@@ -81,3 +81,47 @@ def test_hashed_embedding_and_pairing(spark):
     vectors = spark.createDataFrame([(1, [1.0]), (2, [0.5])], "id long, embedding array<float>")
     matched, missing = attach_vectors(chunks, vectors, "id")
     assert matched.count() == 2 and [r.id for r in missing.collect()] == [3]
+
+
+def test_binary_file_adapter_and_discovery(spark):
+    root = tempfile.mkdtemp(prefix="quarry-bin-")
+    for rel in ["alpha/src/a.py", "alpha/README.md", "beta/x.txt", "beta/__init__.py",
+                "node_modules/y.js"]:
+        path = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as fh:
+            fh.write("print(1)\n")
+    files = src.from_binary_files(spark, root)
+    got = sorted((r.project, r.file_path) for r in files.collect())
+    # binaryFile skips names starting with "_" or "." (documented); the tree source keeps them
+    assert got == [("alpha", "README.md"), ("alpha", "src/a.py"), ("beta", "x.txt"),
+                   ("node_modules", "y.js")]
+    paths = files.select(F.concat("project", F.lit("/"), "file_path").alias("path"))
+    assert [r.name for r in src.discover_projects(paths).collect()] == ["alpha", "beta"]
+
+
+def test_registry_round_trip(spark):
+    from quarry.session import scratch_path
+
+    path = scratch_path(spark, "test-registry")
+    assert rg.load_registry(spark, path).count() == 0  # absent -> empty
+    reg = rg.upsert_projects(rg.empty_registry(spark),
+                             spark.createDataFrame([("b", "/b"), ("A", "/a")],
+                                                   "name string, project_path string"),
+                             now="2024-01-01 00:00:00")
+    rg.save_registry(reg, path)
+    back = rg.load_registry(spark, path)
+    assert [r.name for r in rg.list_projects(back).collect()] == ["A", "b"]
+
+
+def test_model_embedding_backend(spark):
+    from quarry.operators.embed import model_embedding
+
+    def factory():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.createDataFrame([("ab",), ("abcd",)], "t string")
+    got = sorted(tuple(r.embedding) for r in model_embedding(df, "t", factory).collect())
+    assert got == [(2.0, 1.0), (4.0, 1.0)]

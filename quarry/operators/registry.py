@@ -8,7 +8,7 @@ result is a new version of the table (Parquet has no in-place MERGE); write it w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_SETTINGS, Settings
@@ -53,9 +53,10 @@ def upsert_projects(current: DataFrame, incoming: DataFrame, now=None,
     ts = _ts(now)
     inc = incoming.where(F.length(F.trim("name")) > 0)
     if "seq" in inc.columns:
-        w = Window.partitionBy("name").orderBy(F.col("seq").desc())
-        inc = inc.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "seq")
-    inc = inc.select("name", F.col("project_path").alias("new_path"))
+        # max_by aggregates partially on the map side: a name arriving very often stays cheap.
+        inc = inc.groupBy("name").agg(F.max_by("project_path", "seq").alias("new_path"))
+    else:
+        inc = inc.groupBy("name").agg(F.first("project_path").alias("new_path"))
     cur = current.select(*REGISTRY_COLUMNS)
     joined = cur.join(inc, "name", "full_outer")
     is_new = F.col("new_path").isNotNull()
@@ -107,9 +108,21 @@ def remove_projects(current: DataFrame, removals: DataFrame) -> tuple[DataFrame,
     return remaining, outcome
 
 
+# Registries up to this many records are broadcast to the requests they are joined with.
+REGISTRY_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = REGISTRY_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after checking the row count (requests may hit one project heavily;
+    a broadcast join has no reducer to overload)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def lookup(requests: DataFrame, registry: DataFrame, project_col: str = "project") -> DataFrame:
     """Attach the registry record to each request; ``status`` is ``ok`` or ``not_registered``."""
-    reg = registry.select(F.col("name").alias(project_col), "index_name", "project_path")
+    reg = broadcast_if_small(
+        registry.select(F.col("name").alias(project_col), "index_name", "project_path"))
     return requests.join(reg, project_col, "left").withColumn(
         "status", F.when(F.col("index_name").isNull(), F.lit("not_registered"))
         .otherwise(F.lit("ok")))

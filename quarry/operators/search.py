@@ -112,8 +112,10 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     """
     prepared = prepare_queries(queries, settings)
     if registry is not None:
-        known = registry.select(F.col("name").alias("project")).distinct() \
-            .withColumn("registered", F.lit(True))
+        from quarry.operators.registry import broadcast_if_small
+
+        known = broadcast_if_small(registry.select(F.col("name").alias("project")).distinct()
+                                   .withColumn("registered", F.lit(True)))
         prepared = prepared.join(known, "project", "left") \
             .withColumn("registered", F.coalesce("registered", F.lit(False)))
     else:

@@ -75,3 +75,40 @@ def index_summary(chunks: DataFrame, registry: DataFrame | None = None) -> DataF
                     F.coalesce("chunks_indexed", F.lit(0)).alias("chunks_indexed"),
                     F.when(F.col("chunks_indexed") > 0, F.lit("ok"))
                     .otherwise(F.lit("no_chunks")).alias("status")))
+
+
+def index_projects(files: DataFrame, path: str, embed, registry: DataFrame | None = None,
+                   now=None, settings=None, decoded: bool = False):
+    """Index projects end to end: chunks -> search text -> vectors -> refresh -> summary -> stamp.
+
+    ``files(project, file_path, content)`` holds every file of the projects to (re)index (bytes,
+    or text with ``decoded=True``); ``embed`` maps a text Column to a vector Column (e.g.
+    ``lambda c: hashed_embedding(c)``). Only projects present in ``files`` are rewritten.
+    With a ``registry``, files of unregistered projects are left out, registered projects
+    without chunks are reported as ``no_chunks``, and the stamped registry is returned.
+
+    Returns ``(summary, registry_after)``; ``registry_after`` is None without a registry.
+    """
+    from quarry.config import DEFAULT_SETTINGS
+    from quarry.operators import registry as rg
+    from quarry.operators.structure import build_chunks, structured_chunks, with_search_text
+
+    settings = settings or DEFAULT_SETTINGS
+    if registry is not None:
+        names = rg.broadcast_if_small(registry.select(F.col("name").alias("project")))
+        files = files.join(names, "project", "left_semi")
+    chunks = (with_search_text(structured_chunks(files, settings)) if decoded
+              else build_chunks(files, settings))
+    rows = to_index_rows(chunks.withColumn("embedding", embed(F.col("search_text"))))
+    refresh_projects(rows, path)
+    written = files.sparkSession.read.parquet(path).join(
+        files.select("project").distinct(), "project", "left_semi")
+    summary = index_summary(written, registry)
+    if registry is None:
+        return summary, None
+    stamped = rg.stamp_indexed(registry, summary.where(F.col("chunks_indexed") > 0), now=now)
+    return summary, stamped
+
+
+# "Insert" replaces a project's chunks (same operator); there is deliberately no append.
+insert_chunks = refresh_projects

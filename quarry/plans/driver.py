@@ -530,25 +530,25 @@ def q_registry_lookup(spark, sf_dir):
 def q_search_indexed(spark, sf_dir):
     """Index then search, with this library's hashed embedding on both sides.
 
-    Documents become structure-aware chunks with search text, the search text is embedded, the
-    index is written partitioned by project and read back, and the whole benchmark texts are
-    embedded the same way and searched within the project of the same-numbered document.
+    Documents (as project files) are indexed end to end - structure-aware chunks, search text,
+    hashed vectors, refresh of the project partitions - and the whole benchmark texts, embedded the
+    same way, are searched within the project of the same-numbered document.
     """
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("source").alias("project"), F.expr(FX.DOC_MD_PATH).alias("file_path"),
                         F.expr(FX.DOC_PARAGRAPHS).alias("content"))
-    chunks = st.with_search_text(st.structured_chunks(files))
-    rows = chunks.withColumn("embedding", em.hashed_embedding("search_text", 512,
-                                                              precision="double"))
     path = scratch_path(spark, "search_indexed")
-    ix.refresh_projects(rows, path)
+
+    def embed(c):
+        return em.hashed_embedding(c, 512, precision="double")
+
+    ix.index_projects(files, path, embed, decoded=True)
     index = ix.read_index(spark, path)
     bench = table(spark, sf_dir, "benchmark")
     owners = docs.select("doc_id", "source")
     queries = bench.join(owners, bench.item_id == owners.doc_id).select(
         F.col("item_id").alias("query_id"), F.col("source").alias("project"),
-        F.col("text").alias("query"),
-        em.hashed_embedding("text", 512, precision="double").alias("embedding"))
+        F.col("text").alias("query"), embed(F.col("text")).alias("embedding"))
     results, _ = srch.search(index, queries)
     return _result_view(results)
 

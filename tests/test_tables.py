@@ -125,3 +125,25 @@ def test_model_embedding_backend(spark):
     df = spark.createDataFrame([("ab",), ("abcd",)], "t string")
     got = sorted(tuple(r.embedding) for r in model_embedding(df, "t", factory).collect())
     assert got == [(2.0, 1.0), (4.0, 1.0)]
+
+
+def test_index_projects_end_to_end(spark):
+    from quarry.operators.embed import hashed_embedding
+    from quarry.session import scratch_path
+
+    path = scratch_path(spark, "test-index-projects")
+    files = spark.createDataFrame(
+        [("a", "x.py", b"def f():\n    return 1\n"), ("a", "README.md", b"# A\n\ntext"),
+         ("zz", "y.py", b"x = 1\n"), ("a", "node_modules/z.js", b"1")],
+        "project string, file_path string, content binary")
+    registry = rg.upsert_projects(
+        rg.empty_registry(spark),
+        spark.createDataFrame([("a", "/a"), ("b", "/b")], "name string, project_path string"),
+        now="2024-01-01 00:00:00")
+    summary, after = ix.index_projects(files, path, lambda c: hashed_embedding(c, 32),
+                                       registry=registry, now="2024-02-01 00:00:00")
+    got = {r.project: (r.files_indexed, r.chunks_indexed, r.status) for r in summary.collect()}
+    assert got == {"a": (2, 2, "ok"), "b": (0, 0, "no_chunks")}
+    stamped = {r.name: r.last_indexed_chunk_count for r in after.collect()}
+    assert stamped == {"a": 2, "b": 0}
+    assert {r.project for r in ix.read_index(spark, path).collect()} == {"a"}

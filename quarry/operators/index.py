@@ -22,15 +22,23 @@ def to_index_rows(chunks_with_vectors: DataFrame) -> DataFrame:
     return df.select(*INDEX_COLUMNS)
 
 
-def refresh_projects(index_rows: DataFrame, path: str) -> None:
+# Upper bound of rows per written file (a chunk row with a 512-float vector is a few KB).
+INDEX_ROWS_PER_FILE = 200_000
+
+
+def refresh_projects(index_rows: DataFrame, path: str,
+                     rows_per_file: int = INDEX_ROWS_PER_FILE) -> None:
     """Full refresh of every project present in ``index_rows``; other projects are untouched.
 
-    Rows are clustered by project before the write so each project's files come from few tasks.
+    The write is narrow: no shuffle by project (a project holding a large share of all chunks
+    would otherwise be written by one task). Each task writes its own rows per project, files are
+    capped at ``rows_per_file`` rows, and dynamic partition overwrite swaps exactly the projects
+    present in the input.
     """
     rows = to_index_rows(index_rows) if "chunk_key" not in index_rows.columns else index_rows
-    (rows.repartition("project")
-     .write.mode("overwrite")
+    (rows.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", rows_per_file)
      .partitionBy("project")
      .parquet(path))
 

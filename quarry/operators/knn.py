@@ -164,6 +164,8 @@ def _scan_fn(bc, group_col, id_cols, emb, metric, out_schema):
     return run
 
 
+# Largest group list pushed to the scan as an IN filter; longer lists become a semi join.
+MAX_IN_LIST = 1000
 # Dimension assumed when sizing the first collect of the query block before the dimension is known.
 ASSUMED_MAX_DIM = 4096
 
@@ -224,7 +226,12 @@ def knn_exact_counted(index: DataFrame, queries: DataFrame, k, *, id_cols,
         payload = _collect_query_block(table, group_col, query_id, "_emb", "_k")
         scan = index.select(*idx_cols)
         if group_col:
-            scan = scan.where(F.col(group_col).isin(list(payload.keys())))
+            groups = list(payload.keys())
+            if len(groups) <= MAX_IN_LIST:
+                scan = scan.where(F.col(group_col).isin(groups))  # partition pruning
+            else:
+                wanted = spark.createDataFrame([(g,) for g in groups], [group_col])
+                scan = scan.join(F.broadcast(wanted), group_col, "left_semi")
         bc = spark.sparkContext.broadcast(payload)
         parts.append(scan.mapInArrow(
             _scan_fn(bc, group_col, id_cols, embedding, metric, out_arrow), out_struct))
@@ -306,12 +313,16 @@ def lsh_signatures(df: DataFrame, embedding: str, *, dim: int, bands: int = 8, b
 
 def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id: str = "query_id",
             embedding: str = "embedding", metric: str = "cosine", bands: int = 8, bits: int = 8,
-            rows_per_group: int = 20000, seed: int = 7) -> DataFrame:
+            rows_per_group: int = 20000, queries_per_group: int = 2000,
+            seed: int = 7) -> DataFrame:
     """Approximate top-k via banded random-hyperplane LSH; exact distances on the candidates.
 
-    Bucket sizes are counted first (a table of at most ``bands * 2**bits`` rows, broadcast); a
-    bucket with ``n`` index rows is split into ``ceil(n / rows_per_group)`` salted sub-groups and
-    its queries are replicated to each, so no group exceeds ``rows_per_group`` index rows.
+    Bucket sizes of both sides are counted first (a table of at most ``bands * 2**bits`` rows,
+    broadcast). A bucket with ``n`` index rows and ``m`` queries is cut into
+    ``ceil(n / rows_per_group) x ceil(m / queries_per_group)`` sub-groups: each index row goes to
+    one index salt and is copied to every query salt, each query the other way round. No group
+    holds more than ``rows_per_group`` index rows or ``queries_per_group`` queries, however hot
+    the bucket, and each group emits only its top-k per query.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -322,15 +333,20 @@ def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id:
                        "embedding", dim=dim, bands=bands, bits=bits, seed=seed)
     ix = lsh_signatures(index.select(*id_cols, F.col(embedding).alias("embedding")),
                         "embedding", dim=dim, bands=bands, bits=bits, seed=seed)
-    sizes = ix.groupBy("band", "bucket").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_group)).cast("int").alias("n_salts"))
-    sizes = F.broadcast(sizes)  # at most bands * 2**bits rows
-    ix = (ix.join(sizes, ["band", "bucket"])
-          .withColumn("salt", F.pmod(F.xxhash64(*id_cols), F.col("n_salts")).cast("int"))
-          .drop("n_salts"))
-    q = (q.join(sizes, ["band", "bucket"])
-         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
-         .drop("n_salts"))
+    keys = ["band", "bucket"]
+    isizes = ix.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_group)).cast("int").alias("n_isalts"))
+    qsizes = q.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(queries_per_group)).cast("int").alias("n_qsalts"))
+    sizes = F.broadcast(isizes.join(qsizes, keys))  # at most bands * 2**bits rows
+    ix = (ix.join(sizes, keys)
+          .withColumn("isalt", F.pmod(F.xxhash64(*id_cols), F.col("n_isalts")).cast("int"))
+          .withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("n_qsalts") - 1)))
+          .drop("n_isalts", "n_qsalts"))
+    q = (q.join(sizes, keys)
+         .withColumn("qsalt", F.pmod(F.xxhash64("query_id"), F.col("n_qsalts")).cast("int"))
+         .withColumn("isalt", F.explode(F.sequence(F.lit(0), F.col("n_isalts") - 1)))
+         .drop("n_isalts", "n_qsalts"))
     idx_fields = {f.name: f for f in index.schema.fields}
     out_fields = ([pa.field("query_id", pa.int64())]
                   + [pa.field(n, to_arrow_type(idx_fields[n].dataType)) for n in id_cols]
@@ -353,8 +369,8 @@ def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id:
         cols.append(pa.array(dist[qi, ri], pa.float64()))
         return pa.Table.from_arrays(cols, schema=out_arrow)
 
-    keys = ["band", "bucket", "salt"]
-    cands = q.groupBy(*keys).cogroup(ix.groupBy(*keys)).applyInArrow(apply, out_struct)
+    group = keys + ["isalt", "qsalt"]
+    cands = q.groupBy(*group).cogroup(ix.groupBy(*group)).applyInArrow(apply, out_struct)
     best = cands.groupBy("query_id", *id_cols).agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", *id_cols)
     return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -66,3 +66,16 @@ def test_two_level_merge_matches_single_level(spark):
     b = knn_exact(index, _frame(spark, qs, "query_id"), 6, id_cols=["vec_id"])
     key = lambda r: (r.query_id, r["rank"], r.vec_id)
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def test_lsh_hot_bucket_salting_keeps_results(spark):
+    rng = np.random.default_rng(21)
+    centers = rng.standard_normal((4, 16))
+    base = np.vstack([c + 0.05 * rng.standard_normal((60, 16)) for c in centers]).astype(np.float32)
+    qs = np.vstack([c + 0.05 * rng.standard_normal((15, 16)) for c in centers]).astype(np.float32)
+    args = dict(id_cols=["vec_id"], bands=4, bits=3)
+    wide = knn_lsh(_frame(spark, base, "vec_id"), _frame(spark, qs, "query_id"), 5, **args)
+    salted = knn_lsh(_frame(spark, base, "vec_id"), _frame(spark, qs, "query_id"), 5,
+                     rows_per_group=7, queries_per_group=3, **args)
+    key = lambda r: (r.query_id, r["rank"], r.vec_id)
+    assert sorted(map(key, wide.collect())) == sorted(map(key, salted.collect()))

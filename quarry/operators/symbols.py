@@ -8,6 +8,7 @@ Everything downstream (sorting, gaps, chunking) is Spark SQL.
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,40 @@ SPAN_TYPE = T.StructType([
 ])
 
 
+_LINE_END = re.compile(r"\r\n|\n|\r")
+
+
+class _Segments:
+    """``ast.get_source_segment`` with the source split once (the stdlib splits it per call,
+    which is quadratic for large files). Lines keep their ends; form feeds do not split."""
+
+    def __init__(self, source: str):
+        self.lines: list[str] = []
+        pos = 0
+        for m in _LINE_END.finditer(source):
+            self.lines.append(source[pos:m.end()])
+            pos = m.end()
+        self.lines.append(source[pos:])
+        self._encoded: dict[int, bytes] = {}
+
+    def _enc(self, i: int) -> bytes:
+        b = self._encoded.get(i)
+        if b is None:
+            b = self._encoded[i] = self.lines[i].encode()
+        return b
+
+    def get(self, node) -> str | None:
+        end_lineno, end_col = getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None)
+        if end_lineno is None or end_col is None:
+            return None
+        first, last, col = node.lineno - 1, end_lineno - 1, node.col_offset
+        if first == last:
+            return self._enc(first)[col:end_col].decode()
+        head = self._enc(first)[col:].decode()
+        tail = self._enc(last)[:end_col].decode()
+        return head + "".join(self.lines[first + 1:last]) + tail
+
+
 def python_spans(source: str) -> list[dict]:
     """Classes, functions and methods in pre-order.
 
@@ -37,12 +72,13 @@ def python_spans(source: str) -> list[dict]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     spans: list[dict] = []
+    segments = _Segments(source)
 
     def add(node, name: str, kind: str) -> None:
         start, end = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
         if start is None or end is None:
             return
-        segment = ast.get_source_segment(source, node)
+        segment = segments.get(node)
         if not segment:
             return
         spans.append({"name": name, "symbol_type": kind, "start_line": start,

@@ -80,6 +80,9 @@ def model_embedding(df: DataFrame, text_col: str, model_factory: Callable[[], Ca
                     out_col: str = "embedding") -> DataFrame:
     """User model backend: ``model_factory()`` runs once per Python worker and returns a callable
     mapping a list of texts to an (n, dim) array."""
+    from quarry.session import ship_package
+
+    ship_package(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import DEFAULT_SETTINGS, Settings
+from quarry.session import ship_package
 
 # ---------------------------------------------------------------------------------------------
 # Matrix kernel shared by both operators.
@@ -199,6 +200,7 @@ def knn_exact_counted(index: DataFrame, queries: DataFrame, k, *, id_cols,
                       settings: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame, int]:
     """``knn_exact`` plus the number of query rows (known from collecting the query block)."""
     spark = index.sparkSession
+    ship_package(spark)
     id_cols = list(id_cols)
     k_expr = F.lit(int(k)) if isinstance(k, int) else F.col(k)
     sel = [F.col(query_id).cast("long").alias(query_id)]
@@ -326,6 +328,7 @@ def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship_package(index.sparkSession)
     id_cols = list(id_cols)
     dim = int(queries.select(F.max(F.size(embedding))).first()[0] or 0)
     q = lsh_signatures(queries.select(F.col(query_id).cast("long").alias("query_id"),

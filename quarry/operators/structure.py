@@ -18,6 +18,7 @@ from quarry.functions import text as tx
 from quarry.operators.chunking import chunk_records, let
 from quarry.operators.symbols import (extract_lines, gap_ranges, split_lines, symbol_spans,
                                       total_lines)
+from quarry.session import ship_package
 from quarry.sources.files import decode_content, select_source_files
 
 SECTION_TYPE = T.StructType([
@@ -64,6 +65,7 @@ def symbol_spans_type():
 
 def structured_chunks(files: DataFrame, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """``files(project, file_path, content STRING)`` -> chunk table (see ``CHUNK_COLUMNS``)."""
+    ship_package(files.sparkSession)
     lang = tx.detect_language("file_path")
     staged = files.select("project", "file_path", "content", lang.alias("language"))
     pieces = F.flatten(F.transform(

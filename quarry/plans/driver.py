@@ -22,7 +22,7 @@ from quarry.functions import text as tx
 from quarry.operators import search as srch
 from quarry.operators.knn import knn_exact, knn_lsh
 from quarry.operators.lexical import query_terms_from_tokens, query_tokens, synonym_terms
-from quarry.session import spread
+from quarry.session import ship_package, spread
 
 
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark", "part", "events"}
@@ -30,6 +30,7 @@ TEXT_TABLES = {"documents", "pages", "conversations", "benchmark", "part", "even
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a given table; text tables are spread over the cores when the file is one split."""
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
 

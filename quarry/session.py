@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -73,3 +74,42 @@ def spread(df):
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable by the Python workers (UDFs are pickled by reference).
+
+    Zips the package once per Spark application and registers it with ``addPyFile`` - the same
+    thing ``--py-files`` does at submit time. The zip goes under the shared folder when that is a
+    local path, else to a driver-side file that Spark serves to the executors.
+    """
+    import hashlib
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    files = sorted(p for p in pkg.rglob("*.py") if "__pycache__" not in p.parts)
+    digest = hashlib.sha1()
+    for p in files:
+        digest.update(str(p.relative_to(pkg.parent)).encode())
+        digest.update(p.read_bytes())
+    base = shared_dir(spark, "quarry", "pkg")
+    if "://" in base and not base.startswith("file:"):
+        base = tempfile.mkdtemp(prefix="quarry-pkg-")
+    ensure_dir(base)
+    target = Path(local_path(base)) / f"quarry-{digest.hexdigest()[:12]}.zip"
+    if not target.exists():
+        tmp = target.with_suffix(f".{uuid.uuid4().hex[:6]}.tmp")
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:
+            for p in files:
+                zf.write(p, str(p.relative_to(pkg.parent)))
+        os.replace(tmp, target)
+    sc.addPyFile(str(target))
+    _SHIPPED.add(app)

@@ -45,8 +45,10 @@ def from_binary_files(spark: SparkSession, root: str) -> DataFrame:
 
 def from_tree(spark: SparkSession, root: str, salts: int = 4) -> DataFrame:
     """Adapter C: the ``quarry_tree`` data source (reads hidden files too)."""
+    from quarry.session import ship_package
     from quarry.sources.tree_source import register
 
+    ship_package(spark)
     register(spark)
     return spark.read.format("quarry_tree").option("root", root).option("salts", str(salts)).load()
 

@@ -109,7 +109,7 @@ def remove_projects(current: DataFrame, removals: DataFrame) -> tuple[DataFrame,
 
 
 # Registries up to this many records are broadcast to the requests they are joined with.
-REGISTRY_BROADCAST_ROWS = 2_000_000
+REGISTRY_BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = REGISTRY_BROADCAST_ROWS) -> DataFrame:

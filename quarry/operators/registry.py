@@ -47,7 +47,7 @@ def upsert_projects(current: DataFrame, incoming: DataFrame, now=None,
 
     Existing records keep ``created_at``, ``last_indexed_at`` and the chunk count; path, index name
     and ``updated_at`` are refreshed. When a name arrives more than once the row with the highest
-    ``seq`` (arrival order) wins. Blank names are rejected (left out and reported by
+    ``seq`` (arrival order) wins; without ``seq`` the greatest path wins. Blank names are rejected (left out and reported by
     ``invalid_names``).
     """
     ts = _ts(now)
@@ -56,7 +56,8 @@ def upsert_projects(current: DataFrame, incoming: DataFrame, now=None,
         # max_by aggregates partially on the map side: a name arriving very often stays cheap.
         inc = inc.groupBy("name").agg(F.max_by("project_path", "seq").alias("new_path"))
     else:
-        inc = inc.groupBy("name").agg(F.first("project_path").alias("new_path"))
+        # No arrival order: take a reproducible choice (a retried task must pick the same row).
+        inc = inc.groupBy("name").agg(F.max("project_path").alias("new_path"))
     cur = current.select(*REGISTRY_COLUMNS)
     joined = cur.join(inc, "name", "full_outer")
     is_new = F.col("new_path").isNotNull()

@@ -8,6 +8,8 @@ per-query group after retrieval holds at most 100 candidates, so the windows her
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,21 +67,37 @@ def retrieve(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_
 CANDIDATE_ROW_BYTES = 256  # key columns of one candidate row, generous
 
 
+# Beyond this many broadcast blocks of candidate keys, one shuffle join replaces repeated scans.
+MAX_METADATA_BLOCKS = 8
+
+
 def attach_metadata(index: DataFrame, hits: DataFrame, n_queries: int,
                     settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """Join candidate keys to their index rows without shuffling the index.
 
-    Candidates number at most ``queries x 100``; when that bound times the key size stays under
+    Candidates number at most ``queries x 100``. While that bound times the key size stays under
     ``knn_broadcast_max_bytes`` the candidate keys are broadcast and the index is only scanned
-    (pruned to the queried projects). Above the bound a shuffle join is used. ``n_queries`` is
-    counted on the (small) query table, never on ``hits``, which would re-run the retrieval.
+    (pruned to the queried projects). Larger candidate sets are split by a hash of the query id
+    into blocks that each fit, one broadcast join (and pruned scan) per block; only beyond
+    ``MAX_METADATA_BLOCKS`` blocks does a single shuffle join take over. ``n_queries`` is counted
+    on the (small) query table, never on ``hits``, which would re-run the retrieval.
     """
     meta = index.select(*INDEX_KEY, "language", "content", "path_tokens", "symbol_name",
                         "symbol_type", "start_line", "end_line")
     keys = hits.select("query_id", *INDEX_KEY, "distance")
-    if n_queries * MAX_CANDIDATES * CANDIDATE_ROW_BYTES <= settings.knn_broadcast_max_bytes:
-        keys = F.broadcast(keys)
-    return meta.join(keys, INDEX_KEY)
+    bound = n_queries * MAX_CANDIDATES * CANDIDATE_ROW_BYTES
+    blocks = max(1, math.ceil(bound / settings.knn_broadcast_max_bytes))
+    if blocks == 1:
+        return meta.join(F.broadcast(keys), INDEX_KEY)
+    if blocks > MAX_METADATA_BLOCKS:
+        return meta.join(keys, INDEX_KEY)
+    parts = [meta.join(F.broadcast(keys.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)),
+                       INDEX_KEY)
+             for b in range(blocks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def rank_candidates(cands: DataFrame, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:

@@ -31,8 +31,9 @@ TEXT_TABLES = {"documents", "pages", "conversations", "benchmark", "part", "even
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a given table; text tables are spread over the cores when the file is one split."""
     ship_package(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, source_key=path) if name in TEXT_TABLES else df
 
 
 def normalise_output(df: DataFrame) -> DataFrame:

@@ -63,15 +63,26 @@ def ensure_dir(path: str) -> None:
         os.makedirs(local_path(path), exist_ok=True)
 
 
-def spread(df):
+_SPLITS: dict[tuple[str, str], int] = {}
+
+
+def spread(df, source_key: str | None = None):
     """Round-robin ``df`` over the cluster's cores when it has fewer input partitions than cores.
 
     Small inputs stored as one Parquet row group scan as a single task; CPU-heavy per-row text
     work (folding, chunking, parsing, hashing) would then use one core. On a cluster reading
     large inputs there are already more splits than cores and this is a no-op (no shuffle).
+    ``source_key`` (e.g. the path read) memoises the split count within the application.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    key = (sc.applicationId, source_key) if source_key else None
+    splits = _SPLITS.get(key) if key else None
+    if splits is None:
+        splits = df.rdd.getNumPartitions()
+        if key:
+            _SPLITS[key] = splits
+    if splits < cores:
         return df.repartition(cores)
     return df
 

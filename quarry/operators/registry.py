@@ -33,6 +33,40 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
         return empty_registry(spark)
 
 
+STATE_JSON_SCHEMA = (
+    "struct<projects: map<string, struct<name: string, project_path: string, index_name: string,"
+    " created_at: string, updated_at: string, last_indexed_at: string,"
+    " last_indexed_chunk_count: bigint>>>")
+
+
+def load_registry_json(spark: SparkSession, path: str) -> DataFrame:
+    """Import a registry kept as one JSON state file: ``{"projects": {name: record}}``.
+
+    Timestamps are ISO-8601 strings (with offset). A file that does not parse, or whose
+    ``projects`` is not an object, yields an empty registry; a missing ``name`` falls back to the
+    map key and a missing count to 0.
+    """
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except Exception:  # absent file -> empty registry
+        return empty_registry(spark)
+    parsed = raw.select(F.from_json("value", STATE_JSON_SCHEMA).alias("s"))
+    rows = parsed.select(F.explode_outer("s.projects").alias("key", "p")).where(F.col("key").isNotNull())
+
+    def ts(c: str):
+        return F.to_timestamp(F.col(f"p.{c}"))
+
+    return rows.select(
+        F.coalesce(F.col("p.name"), F.col("key")).alias("name"),
+        F.col("p.project_path").alias("project_path"),
+        F.col("p.index_name").alias("index_name"),
+        ts("created_at").alias("created_at"), ts("updated_at").alias("updated_at"),
+        ts("last_indexed_at").alias("last_indexed_at"),
+        F.coalesce(F.col("p.last_indexed_chunk_count"), F.lit(0)).cast("long")
+        .alias("last_indexed_chunk_count"),
+    )
+
+
 def save_registry(registry: DataFrame, path: str) -> None:
     registry.select(*REGISTRY_COLUMNS).write.mode("overwrite").parquet(path)
 

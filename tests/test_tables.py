@@ -147,3 +147,27 @@ def test_index_projects_end_to_end(spark):
     stamped = {r.name: r.last_indexed_chunk_count for r in after.collect()}
     assert stamped == {"a": 2, "b": 0}
     assert {r.project for r in ix.read_index(spark, path).collect()} == {"a"}
+
+
+def test_registry_json_import(spark):
+    import json
+
+    base = tempfile.mkdtemp(prefix="quarry-state-")
+    good = os.path.join(base, "projects.json")
+    with open(good, "w") as fh:
+        json.dump({"projects": {
+            "alpha": {"name": "alpha", "project_path": "/w/alpha", "index_name": "x-alpha-1",
+                      "created_at": "2024-01-01T00:00:00+00:00",
+                      "updated_at": "2024-01-02T00:00:00+00:00",
+                      "last_indexed_at": None, "last_indexed_chunk_count": 0},
+            "beta": {"project_path": "/w/beta", "last_indexed_at": "2024-03-01T10:00:00+00:00",
+                     "last_indexed_chunk_count": 12}}}, fh, indent=2)
+    bad = os.path.join(base, "broken.json")
+    with open(bad, "w") as fh:
+        fh.write("{not json")
+    rows = {r.name: r for r in rg.load_registry_json(spark, good).collect()}
+    assert set(rows) == {"alpha", "beta"}
+    assert rows["beta"].last_indexed_chunk_count == 12 and rows["alpha"].last_indexed_at is None
+    assert rows["beta"].last_indexed_at is not None
+    assert rg.load_registry_json(spark, bad).count() == 0
+    assert rg.load_registry_json(spark, os.path.join(base, "absent.json")).count() == 0

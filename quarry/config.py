@@ -101,6 +101,10 @@ class Settings:
     knn_broadcast_max_bytes: int = 256 * 1024 * 1024
     # Above this many index partitions the partial top-k rows are merged in two levels.
     knn_reduce_fanout: int = 512
+    # Candidate retrieval for search: "exact" (broadcast query blocks) or "lsh" (bucket join).
+    retrieval: str = "exact"
+    lsh_bands: int = 8
+    lsh_bits: int = 8
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

@@ -165,6 +165,8 @@ def _scan_fn(bc, group_col, id_cols, emb, metric, out_schema):
     return run
 
 
+# Largest per-group LSH bucket-size table that is broadcast (rows).
+MAX_SIZES_BROADCAST = 1_000_000
 # Largest group list pushed to the scan as an IN filter; longer lists become a semi join.
 MAX_IN_LIST = 1000
 # Dimension assumed when sizing the first collect of the query block before the dimension is known.
@@ -316,7 +318,7 @@ def lsh_signatures(df: DataFrame, embedding: str, *, dim: int, bands: int = 8, b
 def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id: str = "query_id",
             embedding: str = "embedding", metric: str = "cosine", bands: int = 8, bits: int = 8,
             rows_per_group: int = 20000, queries_per_group: int = 2000,
-            seed: int = 7) -> DataFrame:
+            seed: int = 7, group_col: str | None = None) -> DataFrame:
     """Approximate top-k via banded random-hyperplane LSH; exact distances on the candidates.
 
     Bucket sizes of both sides are counted first (a table of at most ``bands * 2**bits`` rows,
@@ -324,24 +326,31 @@ def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id:
     ``ceil(n / rows_per_group) x ceil(m / queries_per_group)`` sub-groups: each index row goes to
     one index salt and is copied to every query salt, each query the other way round. No group
     holds more than ``rows_per_group`` index rows or ``queries_per_group`` queries, however hot
-    the bucket, and each group emits only its top-k per query.
+    the bucket, and each group emits only its top-k per query. With ``group_col`` (the project)
+    queries only meet index rows of their own group: the group is part of the bucket key.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     ship_package(index.sparkSession)
     id_cols = list(id_cols)
     dim = int(queries.select(F.max(F.size(embedding))).first()[0] or 0)
-    q = lsh_signatures(queries.select(F.col(query_id).cast("long").alias("query_id"),
+    group = [group_col] if group_col else []
+    q = lsh_signatures(queries.select(F.col(query_id).cast("long").alias("query_id"), *group,
                                       F.col(embedding).alias("embedding")),
                        "embedding", dim=dim, bands=bands, bits=bits, seed=seed)
-    ix = lsh_signatures(index.select(*id_cols, F.col(embedding).alias("embedding")),
+    ix = lsh_signatures(index.select(*id_cols, *[c for c in group if c not in id_cols],
+                                     F.col(embedding).alias("embedding")),
                         "embedding", dim=dim, bands=bands, bits=bits, seed=seed)
-    keys = ["band", "bucket"]
+    keys = ["band", "bucket"] + group
     isizes = ix.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_group)).cast("int").alias("n_isalts"))
     qsizes = q.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(queries_per_group)).cast("int").alias("n_qsalts"))
-    sizes = F.broadcast(isizes.join(qsizes, keys))  # at most bands * 2**bits rows
+    sizes = isizes.join(qsizes, keys)
+    if not group:
+        sizes = F.broadcast(sizes)  # at most bands * 2**bits rows
+    elif sizes.limit(MAX_SIZES_BROADCAST + 1).count() <= MAX_SIZES_BROADCAST:
+        sizes = F.broadcast(sizes)  # checked: per-group bucket sizes can grow with the groups
     ix = (ix.join(sizes, keys)
           .withColumn("isalt", F.pmod(F.xxhash64(*id_cols), F.col("n_isalts")).cast("int"))
           .withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("n_qsalts") - 1)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_SETTINGS, MAX_CANDIDATES, Settings
 from quarry.functions import text as tx
-from quarry.operators.knn import knn_exact_counted
+from quarry.operators.knn import knn_exact_counted, knn_lsh
 from quarry.operators.lexical import with_lexical_bonus, with_query_terms
 
 INDEX_KEY = ["project", "file_path", "chunk_index"]
@@ -55,11 +55,30 @@ def retrieve_counted(index: DataFrame, queries: DataFrame,
                      settings: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame, int]:
     """Top-k candidates per query (k from the ``k`` column) inside the query's project, and the
     number of queries."""
+    if settings.retrieval == "lsh":
+        return _retrieve_lsh(index, queries, settings)
     return knn_exact_counted(index, queries, "k", id_cols=["file_path", "chunk_index"],
                              group_col="project", metric=settings.distance_metric,
                              settings=settings)
 
 
+def _retrieve_lsh(index: DataFrame, queries: DataFrame,
+                  settings: Settings) -> tuple[DataFrame, int]:
+    """Approximate candidates: no query broadcast; queries meet index rows on (bucket, project)."""
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("kmax")).first()
+    n, kmax = int(stats["n"]), int(stats["kmax"] or 0)
+    if n == 0:
+        return knn_exact_counted(index, queries, "k", id_cols=["file_path", "chunk_index"],
+                                 group_col="project", metric=settings.distance_metric,
+                                 settings=settings)
+    hits = knn_lsh(index, queries, kmax, id_cols=["file_path", "chunk_index"], group_col="project",
+                   metric=settings.distance_metric, bands=settings.lsh_bands,
+                   bits=settings.lsh_bits)
+    per_query_k = queries.select("query_id", F.col("k").alias("_k"))
+    hits = hits.join(per_query_k, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
+    return hits, n
+
+
 def retrieve(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
     return retrieve_counted(index, queries, settings)[0]
 

@@ -120,6 +120,13 @@ def q_search_code(spark, sf_dir):
     return _result_view(results)
 
 
+def q_search_lsh(spark, sf_dir):
+    """The flagship with approximate (LSH) retrieval inside each project; rows-only check."""
+    settings = DEFAULT_SETTINGS.with_(retrieval="lsh", lsh_bands=8, lsh_bits=4)
+    results, _ = srch.search(doc_index(spark, sf_dir), bench_queries(spark, sf_dir), settings)
+    return _result_view(results)
+
+
 def q_search_fallback(spark, sf_dir):
     queries = bench_queries(spark, sf_dir, limit=varied_limit(), min_score=fallback_min())
     results, _ = srch.search(doc_index(spark, sf_dir), queries)
@@ -593,6 +600,7 @@ QUERIES = {
     "project_list": q_project_list,
     "registry_lookup": q_registry_lookup,
     "search_indexed": q_search_indexed,
+    "search_lsh": q_search_lsh,
 }
 
 __all__ = ["QUERIES", "table", "normalise_output", "doc_index", "bench_queries",

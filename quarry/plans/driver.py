@@ -19,11 +19,18 @@ from pyspark.sql import types as T
 
 from quarry.config import DEFAULT_SETTINGS
 from quarry.functions import text as tx
+from quarry.operators import chunking as ch
+from quarry.operators import embed as em
+from quarry.operators import index as ix
+from quarry.operators import registry as rg
 from quarry.operators import search as srch
+from quarry.operators import structure as st
+from quarry.operators import symbols as sy
 from quarry.operators.knn import knn_exact, knn_lsh
 from quarry.operators.lexical import query_terms_from_tokens, query_tokens, synonym_terms
-from quarry.session import ship_package, spread
-
+from quarry.plans import fixtures as FX
+from quarry.session import scratch_path, ship_package, spread
+from quarry.sources import files as src
 
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark", "part", "events"}
 
@@ -209,14 +216,10 @@ def q_synonym_expand(spark, sf_dir):
         "doc_id", F.explode_outer(synonym_terms(toks)).alias("term")).where(F.col("term").isNotNull()))
 
 
-
 # ---------------------------------------------------------------------------------------------
 # Sources, paths and text.
 # ---------------------------------------------------------------------------------------------
 
-from quarry.plans import fixtures as FX  # noqa: E402
-from quarry.sources import files as src  # noqa: E402
-
 
 def q_project_discovery(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.expr(FX.DOC_DISCOVERY_PATH).alias("path"))
@@ -318,10 +321,6 @@ def q_query_dedupe(spark, sf_dir):
 # Chunking and structure.
 # ---------------------------------------------------------------------------------------------
 
-from quarry.operators import chunking as ch  # noqa: E402
-from quarry.operators import structure as st  # noqa: E402
-from quarry.operators import symbols as sy  # noqa: E402
-
 
 def _paragraph_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
@@ -390,11 +389,6 @@ def q_build_chunks(spark, sf_dir):
 # Embedding, index and registry.
 # ---------------------------------------------------------------------------------------------
 
-from quarry.operators import embed as em  # noqa: E402
-from quarry.operators import index as ix  # noqa: E402
-from quarry.operators import registry as rg  # noqa: E402
-from quarry.session import scratch_path  # noqa: E402
-
 
 def q_embed_hash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

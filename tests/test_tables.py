@@ -171,3 +171,42 @@ def test_registry_json_import(spark):
     assert rows["beta"].last_indexed_at is not None
     assert rg.load_registry_json(spark, bad).count() == 0
     assert rg.load_registry_json(spark, os.path.join(base, "absent.json")).count() == 0
+
+
+def test_source_tree_fixture_end_to_end(spark):
+    from quarry.operators.structure import build_chunks
+
+    root = tempfile.mkdtemp(prefix="quarry-fixture-")
+    files = {
+        "proj/__init__.py": "def init():\n    return 1\n".encode(),
+        "proj/_priv/d.py": "class D:\n    def m(self):\n        pass\n".encode(),
+        "proj/.github/c.yml": b"on: push\n",
+        "proj/.env.json": b"{}\n",                      # suffix ".json": indexed
+        "proj/node_modules/e.js": b"var e = 1;\n",      # ignored directory
+        "proj/sub/b.MD": b"# Title\n\nBody\n",
+        "proj/logo.png": b"\x89PNG\r\n",                 # unsupported extension
+        "proj/empty.py": b"",                            # empty -> skipped
+        "proj/latin.txt": "olá çava\n".encode("latin-1"),
+        "proj/crlf.py": b"def f():\r\n    return 2\r\n",
+        "proj/bom.py": "\ufeffdef g():\n    pass\n".encode("utf-8"),
+        "proj/nul.py": b"def h():\n    return '\x00'\n",
+    }
+    for rel, data in files.items():
+        path = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as fh:
+            fh.write(data)
+    chunks = build_chunks(src.from_tree(spark, root, salts=2)).collect()
+    by_file = {}
+    for r in chunks:
+        by_file.setdefault(r.file_path, []).append(r)
+    assert set(by_file) == {"__init__.py", "_priv/d.py", ".github/c.yml", ".env.json", "sub/b.MD",
+                            "latin.txt", "crlf.py", "bom.py", "nul.py"}
+    assert [(r.symbol_name, r.symbol_type) for r in by_file["__init__.py"]] == [("init", "function")]
+    assert {r.symbol_name for r in by_file["_priv/d.py"]} == {"D", "D.m"}
+    assert by_file["latin.txt"][0].content == "olá çava"
+    assert by_file["crlf.py"][0].content == "def f():\n    return 2"
+    assert by_file["sub/b.MD"][0].language == "md"
+    # files the parser rejects (NUL byte) become module chunks; the BOM is kept in the text
+    assert {r.symbol_type for r in by_file["nul.py"]} == {"module"}
+    assert all(r.project == "proj" for r in chunks)

@@ -60,3 +60,23 @@ def test_dense_chunk_index(spark):
     df = spark.createDataFrame([("p", "doc.md", text)], "project string, file_path string, content string")
     idx = [r.chunk_index for r in structured_chunks(df).collect()]
     assert sorted(idx) == list(range(len(idx))) and len(idx) > 3
+
+
+def test_large_overlap_uses_row_function_path(spark):
+    from quarry.config import DEFAULT_SETTINGS
+    from quarry.operators.chunking import chunk_pieces_py, chunk_text
+    from quarry.operators.structure import structured_records_py
+
+    wide = DEFAULT_SETTINGS.with_(chunk_overlap=800)
+    text = "\n\n".join("p" * 500 for _ in range(20))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert chunk_text(df, "text", keep=("doc_id",), settings=wide).count() == \
+        len(chunk_pieces_py(text, 1600, 800))
+    files = spark.createDataFrame([("p", "a.md", text), ("p", "m.py", SAMPLE)],
+                                  "project string, file_path string, content string")
+    got = sorted((r.file_path, r.chunk_index, r.symbol_name, r.start_line, r.end_line)
+                 for r in structured_chunks(files, wide).collect())
+    exp = sorted((fp, i, c["symbol_name"], c["start_line"], c["end_line"])
+                 for fp, content, lang in [("a.md", text, "md"), ("m.py", SAMPLE, "py")]
+                 for i, c in enumerate(structured_records_py(content, lang, 1600, 800)))
+    assert got == exp and ("m.py", 0, "autenticar_usuario", 1, 4) in got

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.config import DEFAULT_SETTINGS, Settings
 from quarry.operators.index import read_index
 from quarry.operators.search import search
-from quarry.session import shared_dir
+from quarry.session import scratch_path
 
 
 def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
@@ -29,9 +29,13 @@ def answer_query_stream(queries: DataFrame, index_path: str, out_path: str,
                         checkpoint: str | None = None, settings: Settings = DEFAULT_SETTINGS,
                         registry: DataFrame | None = None, trigger: dict | None = None
                         ) -> StreamingQuery:
-    """Start the stream; results go to ``out_path/results``, summaries to ``out_path/summary``."""
+    """Start the stream; results go to ``out_path/results``, summaries to ``out_path/summary``.
+
+    Pass a stable ``checkpoint`` (under the cluster's shared folder) to resume after a restart;
+    without one a fresh folder is used, so two streams never share a checkpoint.
+    """
     spark = queries.sparkSession
-    checkpoint = checkpoint or shared_dir(spark, "quarry", "query-stream-checkpoint")
+    checkpoint = checkpoint or scratch_path(spark, "query-stream-checkpoint")
 
     def answer(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():

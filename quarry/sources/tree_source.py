@@ -3,7 +3,8 @@
 Unlike Spark's file sources it keeps names starting with ``_`` or ``.``. The driver lists only
 the project directories (one level); each input partition is a (project, salt) pair that walks
 its project and reads the files whose path hashes to its salt, so one huge project is spread over
-``salts`` tasks instead of landing on one.
+``salts`` tasks instead of landing on one. The root is read by the executors, so on a cluster it
+must be a path every executor sees (a shared mount); object stores go through ``binaryFile``.
 """
 
 from __future__ import annotations

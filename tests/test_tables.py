@@ -210,3 +210,23 @@ def test_source_tree_fixture_end_to_end(spark):
     # files the parser rejects (NUL byte) become module chunks; the BOM is kept in the text
     assert {r.symbol_type for r in by_file["nul.py"]} == {"module"}
     assert all(r.project == "proj" for r in chunks)
+
+
+def test_decode_matches_rule_on_random_bytes(spark):
+    import random
+
+    rng = random.Random(51)
+    chunks = [b"abc", "é".encode(), "é".encode("latin-1"), b"\r\n", b"\r", b"\n", b"\xef\xbb\xbf",
+              b"\xed\xa0\x80", b"\xc0\xaf", b"\xff", "ü€".encode(), b"\x00", b"  "]
+    blobs = [b"".join(rng.choice(chunks) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+
+    def rule(data: bytes):
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:
+            text = data.decode("latin-1")
+        return text.replace("\r\n", "\n").replace("\r", "\n")
+
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, content binary")
+    got = {r.i: r.t for r in df.select("i", src.decode_bytes("content").alias("t")).collect()}
+    assert [got[i] for i in range(len(blobs))] == [rule(b) for b in blobs]

@@ -92,3 +92,25 @@ def model_embedding(df: DataFrame, text_col: str, model_factory: Callable[[], Ca
             yield pd.Series(list(mat))
 
     return df.withColumn(out_col, embed(F.col(text_col)))
+
+
+def embed_unique_texts(df: DataFrame, text_col: str, embed, out_col: str = "embedding",
+                       max_broadcast_bytes: int = 256 * 1024 * 1024, dim_hint: int = 512) -> DataFrame:
+    """Embed each distinct text once and join the vectors back (the query-embedding cache, as a
+    set operation).
+
+    Texts are keyed by their white-space-compacted form; one representative per key (the least
+    raw text, so the choice is reproducible) is embedded. The key table is built with a partial
+    aggregate, so a text repeated millions of times costs one row per task before the shuffle;
+    vectors are broadcast back when ``keys x dim_hint x 8`` bytes fit ``max_broadcast_bytes``,
+    else joined by key.
+    """
+    from quarry.functions.text import query_cache_key
+
+    keyed = df.withColumn("_qkey", query_cache_key(text_col))
+    reps = keyed.groupBy("_qkey").agg(F.min(text_col).alias("_rep"))
+    vectors = reps.select("_qkey", embed(F.col("_rep")).alias(out_col))
+    n_keys = reps.count()
+    if n_keys * dim_hint * 8 <= max_broadcast_bytes:
+        vectors = F.broadcast(vectors)
+    return keyed.join(vectors, "_qkey", "left").drop("_qkey")

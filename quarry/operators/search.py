@@ -136,7 +136,7 @@ def rank_candidates(cands: DataFrame, settings: Settings = DEFAULT_SETTINGS) ->
 
 
 def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SETTINGS,
-           registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+           registry: DataFrame | None = None, embed=None) -> tuple[DataFrame, DataFrame]:
     """Answer every row of ``queries``.
 
     ``index``: ``project, file_path, chunk_index, language, content, path_tokens, symbol_name,
@@ -145,8 +145,19 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     ``registry`` (optional): table with a ``name`` column; queries for other projects get status
     ``not_registered`` and no results.
 
+    ``embed`` (a function from a text Column to a vector Column) embeds queries that come without
+    an ``embedding`` column; equal texts (up to white space) are embedded once.
+
     Returns ``(results, summary)``.
     """
+    if "embedding" not in queries.columns:
+        if embed is None:
+            raise ValueError("queries need an embedding column or an embed function")
+        from quarry.operators.embed import embed_unique_texts
+
+        queries = embed_unique_texts(queries, "query", embed,
+                                     max_broadcast_bytes=settings.knn_broadcast_max_bytes,
+                                     dim_hint=settings.embedding_dimensions)
     prepared = prepare_queries(queries, settings)
     if registry is not None:
         from quarry.operators.registry import broadcast_if_small

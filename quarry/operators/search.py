@@ -1,7 +1,8 @@
 """Search a table of queries against the index in one distributed plan.
 
-Per query: candidate budget ``min(max(limit * multiplier, limit), 100)``, exact nearest
-neighbours inside the query's project, semantic score from the distance, lexical bonus, re-rank
+Per query: candidate budget ``min(max(limit * multiplier, limit), 100)``, nearest neighbours inside
+the query's project (exact by default, LSH with ``Settings(retrieval="lsh")``), semantic score from
+the distance, lexical bonus, re-rank
 (score desc, then distance, then chunk key), threshold with fallback, per-query limit. Every
 per-query group after retrieval holds at most 100 candidates, so the windows here are bounded.
 """

@@ -2,23 +2,22 @@
 
 A file row becomes an ordered array of sections - Python symbols first (pre-order), then the
 module-level line ranges between them, or the whole file for other languages - and every section
-is cut by the window chunker. One ``posexplode`` of the flattened array yields the chunks with a
+is cut by the window chunker. A Python file whose sections give no chunk falls through to the whole
+file, so every file that is not blank has a chunk. One ``posexplode`` of the flattened array yields the chunks with a
 dense ``chunk_index``: the whole step is a narrow, per-row transformation (no shuffle), so it
 scales with the number of files and is immune to key skew.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import DEFAULT_SETTINGS, Settings
 from quarry.functions import text as tx
-from quarry.operators.chunking import chunk_records, let, records_py, uses_sql_path
-from quarry.operators.symbols import (extract_lines, gap_ranges, python_spans, split_lines,
-                                      symbol_spans, total_lines)
+from quarry.operators.chunking import chunk_records, let
+from quarry.operators.symbols import extract_lines, gap_ranges, split_lines, symbol_spans, total_lines
 from quarry.session import ship_package
 from quarry.sources.files import decode_content, select_source_files
 
@@ -29,14 +28,6 @@ SECTION_TYPE = T.StructType([
     T.StructField("symbol_type", T.StringType()),
 ])
 
-CHUNK_PIECE_TYPE = T.StructType([
-    T.StructField("content", T.StringType()),
-    T.StructField("start_line", T.IntegerType()),
-    T.StructField("end_line", T.IntegerType()),
-    T.StructField("symbol_name", T.StringType()),
-    T.StructField("symbol_type", T.StringType()),
-])
-
 CHUNK_COLUMNS = ["project", "file_path", "chunk_index", "language", "content", "path_tokens",
                  "symbol_name", "symbol_type", "start_line", "end_line"]
 
@@ -78,21 +69,18 @@ def structured_chunks(files: DataFrame, settings: Settings = DEFAULT_SETTINGS) -
     lang = tx.detect_language("file_path")
     staged = files.select("project", "file_path", "content", lang.alias("language"))
     sections = file_sections(F.col("content"), F.col("language"))
-    if uses_sql_path(settings):
-        pieces = F.flatten(F.transform(
-            sections,
-            lambda sec: F.transform(chunk_records(sec["text"], sec["base"], settings),
-                                    lambda p: F.struct(
-                                        p["content"].alias("content"),
-                                        p["start_line"].alias("start_line"),
-                                        p["end_line"].alias("end_line"),
-                                        sec["symbol_name"].alias("symbol_name"),
-                                        sec["symbol_type"].alias("symbol_type")))))
-    else:
-        # Row-function path (settings outside the SQL step bound): Python UDFs can neither run
-        # inside higher-order functions nor take the parser UDF's output through them, so one
-        # Arrow UDF applies the whole per-file rule.
-        pieces = _structured_udf(settings)(F.col("content"), F.col("language"))
+
+    def cut(section):
+        return F.transform(chunk_records(section["text"], section["base"], settings), lambda p: F.struct(
+            p["content"].alias("content"), p["start_line"].alias("start_line"),
+            p["end_line"].alias("end_line"), section["symbol_name"].alias("symbol_name"),
+            section["symbol_type"].alias("symbol_type")))
+
+    whole = F.array(F.struct(F.col("content").alias("text"), F.lit(1).alias("base"),
+                             F.lit(None).cast("string").alias("symbol_name"),
+                             F.lit(None).cast("string").alias("symbol_type")))
+    pieces = let(F.flatten(F.transform(sections, cut)), lambda own: F.when(
+        (F.col("language") == "py") & (F.size(own) == 0), F.flatten(F.transform(whole, cut))).otherwise(own))
     # posexplode_outer: a plain posexplode makes the optimizer infer ``size(pieces) > 0`` and
     # push it below any exchange, evaluating the whole chunking (and the parser) twice.
     exploded = staged.select(
@@ -122,46 +110,3 @@ def build_chunks(raw_files: DataFrame, settings: Settings = DEFAULT_SETTINGS) ->
     selected = select_source_files(raw_files)
     decoded = decode_content(selected, "content")
     return with_search_text(structured_chunks(decoded, settings))
-
-
-def _gaps_py(n_lines: int, spans: list[dict]) -> list[tuple[int, int]]:
-    cursor, out = 1, []
-    for a, b in sorted((sp["start_line"], sp["end_line"]) for sp in spans):
-        if a > cursor:
-            out.append((cursor, a - 1))
-        cursor = max(cursor, b + 1)
-    if cursor <= n_lines:
-        out.append((cursor, n_lines))
-    return out
-
-
-def structured_records_py(content: str, language: str, max_chars: int, overlap: int) -> list[dict]:
-    """Per-file rule of ``structured_chunks`` as a row function (same sections, same cuts)."""
-    out: list[dict] = []
-
-    def add(text: str, base: int, name, kind) -> None:
-        for r in records_py(text, base, max_chars, overlap):
-            out.append({"content": r["content"], "start_line": r["start_line"],
-                        "end_line": r["end_line"], "symbol_name": name, "symbol_type": kind})
-
-    if language == "py":
-        spans = python_spans(content)
-        for sp in spans:
-            add(sp["text"], sp["start_line"], sp["name"], sp["symbol_type"])
-        lines = content.splitlines()
-        for a, b in _gaps_py(content.count("\n") + 1, spans):
-            add("\n".join(lines[a - 1:b]), a, None, "module")
-        return out
-    add(content, 1, None, None)
-    return out
-
-
-def _structured_udf(settings: Settings):
-    max_chars, overlap = settings.chunk_max_chars, settings.chunk_overlap
-
-    @F.pandas_udf(T.ArrayType(CHUNK_PIECE_TYPE))
-    def chunks(contents: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else structured_records_py(c, lang, max_chars, overlap)
-                          for c, lang in zip(contents, languages)])
-
-    return chunks

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import LINE_BREAK_RE, col_, count_char, strip
+from quarry.functions.text import col_, count_char, strip
 
 SPAN_TYPE = T.StructType([
     T.StructField("name", T.StringType()),
@@ -116,7 +116,7 @@ def symbol_spans(content, is_python) -> Column:
 
 
 def total_lines(content) -> Column:
-    """Line count as the reference counts it: number of ``\\n`` plus one."""
+    """Number of ``\\n`` plus one: the one line rule of spans, gaps and extracts."""
     return count_char(content) + 1
 
 
@@ -150,7 +150,8 @@ def extract_lines(lines, a, b) -> Column:
 
 
 def split_lines(content) -> Column:
-    return F.split(col_(content), LINE_BREAK_RE)
+    """Lines by ``\\n`` only, as they are counted (form feeds and U+2028 do not end a line)."""
+    return F.split(col_(content), "\n", -1)
 
 
 def module_gaps(spans: DataFrame, files: DataFrame, keys=("project", "file_path")) -> DataFrame:

@@ -333,6 +333,14 @@ def q_chunk_text(spark, sf_dir):
                                        "end_offset"))
 
 
+def q_chunk_text_wide(spark, sf_dir):
+    """An overlap above the shortest cut (800): the same hint may be cut at more than once."""
+    out = ch.chunk_text(_paragraph_docs(spark, sf_dir), "text", keep=("doc_id",),
+                        settings=DEFAULT_SETTINGS.with_(chunk_overlap=800))
+    return normalise_output(out.select("doc_id", "piece_index", "content", "start_offset",
+                                       "end_offset"))
+
+
 def q_chunk_lines(spark, sf_dir):
     out = ch.chunk_text(_paragraph_docs(spark, sf_dir), "text", keep=("doc_id",))
     return normalise_output(out.select("doc_id", "piece_index", "start_line", "end_line"))
@@ -367,7 +375,10 @@ def _mixed_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("project"), F.expr(FX.DOC_MD_PATH).alias("file_path"),
         F.expr(FX.DOC_PARAGRAPHS).alias("content"))
-    return parts.unionByName(docs)
+    breaks = table(spark, sf_dir, "supplier").select(
+        F.expr(FX.BREAK_PROJECT).alias("project"), F.expr(FX.BREAK_PATH).alias("file_path"),
+        F.expr(FX.BREAK_SOURCE).alias("content"))
+    return parts.unionByName(docs).unionByName(breaks)
 
 
 def q_structured_chunks(spark, sf_dir):
@@ -579,6 +590,7 @@ QUERIES = {
     "snippet": q_snippet,
     "query_dedupe": q_query_dedupe,
     "chunk_text": q_chunk_text,
+    "chunk_text_wide": q_chunk_text_wide,
     "chunk_lines": q_chunk_lines,
     "symbol_spans": q_symbol_spans,
     "module_gaps": q_module_gaps,

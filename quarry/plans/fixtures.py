@@ -44,6 +44,17 @@ PART_SOURCE = (
 )
 PART_PATH = f"concat('pkg/', lower(p_type), '/part_', {_PK}, '.py')"
 
+# supplier -> Python files with form feeds and a line separator, which do not end lines.
+LINE_SEPARATOR = "\u2028"
+BREAK_KEY = "CAST(s_suppkey AS STRING)"
+BREAK_PROJECT = "concat('breaks', CAST(s_nationkey AS STRING))"
+BREAK_PATH = f"concat('lib/breaks_', {BREAK_KEY}, '.py')"
+BREAK_SOURCE = (
+    f"CASE WHEN s_suppkey % 2 = 0 THEN concat(chr(12), chr(12), chr(12), 'x = ', {BREAK_KEY}) "
+    f"ELSE concat(chr(12), {NL}, chr(12), 'a = 1', {NL}, 'b = \"{LINE_SEPARATOR}\"', {NL}, "
+    f"'def f', {BREAK_KEY}, '():', {NL}, '    return 1', {NL}, 'z = ', {BREAK_KEY}) END"
+)
+
 # events -> line intervals per user (minute of the month, length from the value).
 EVENT_START = "(day(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) + 1"
 EVENT_END = f"{EVENT_START} + CAST(floor(value) AS BIGINT)"

@@ -85,12 +85,11 @@ SELECT CAST(qid AS BIGINT) AS doc_id, term FROM syn_terms"""
 # ---------------------------------------------------------------------------------------------
 
 from quarry.config import IGNORED_DIRS, SUPPORTED_EXTENSIONS  # noqa: E402
-from quarry.functions.text import slug_py  # noqa: E402
 from quarry.plans import fixtures as FX  # noqa: E402
 
 _IGN = "[" + ", ".join(S.q(d) for d in IGNORED_DIRS) + "]"
 _EXT = "(" + ", ".join(S.q(e) for e in SUPPORTED_EXTENSIONS) + ")"
-_PREFIX = slug_py("quarry")
+_PREFIX = "quarry"
 
 ORACLES["project_discovery"] = f"""
 SELECT name, CAST(count(*) AS BIGINT) AS n_files
@@ -172,6 +171,12 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(piece_index AS BIGINT) AS piece_in
        CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset
 FROM ck_out"""
 
+ORACLES["chunk_text_wide"] = "WITH RECURSIVE src AS (" + _PARA + ")," \
+    + S.chunk_ctes("src", ["doc_id"], "text", overlap=800).rstrip() + """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(piece_index AS BIGINT) AS piece_index, content,
+       CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset
+FROM ck_out"""
+
 ORACLES["chunk_lines"] = "WITH RECURSIVE src AS (" + _PARA + ")," \
     + S.chunk_ctes("src", ["doc_id"], "text").rstrip() + """
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(piece_index AS BIGINT) AS piece_index,
@@ -228,7 +233,18 @@ py_chunks AS (
   UNION ALL
   SELECT project, file_path, 0, {S.strip('content')}, NULL, 'module', 1,
          1 + {S.nl_count(S.strip('content'))}
-  FROM py_files WHERE broken)"""
+  FROM py_files WHERE broken
+  UNION ALL
+  SELECT n_project, n_path, i, c, n, t, a, b FROM (
+    SELECT {FX.BREAK_PROJECT} AS n_project, {FX.BREAK_PATH} AS n_path,
+           unnest(CASE WHEN s_suppkey % 2 = 0 THEN [{{'i': 0, 'c': concat('x = ', {FX.BREAK_KEY}),
+                    'n': NULL, 't': 'module', 'a': 1, 'b': 1}}]
+                  ELSE [{{'i': 0, 'c': concat('def f', {FX.BREAK_KEY}, '():', {_NL}, '    return 1'),
+                         'n': concat('f', {FX.BREAK_KEY}), 't': 'function', 'a': 4, 'b': 5}},
+                        {{'i': 1, 'c': concat('a = 1', {_NL}, 'b = "{FX.LINE_SEPARATOR}"'), 'n': NULL,
+                         't': 'module', 'a': 1, 'b': 2}},
+                        {{'i': 2, 'c': concat('z = ', {FX.BREAK_KEY}), 'n': NULL, 't': 'module',
+                         'a': 6, 'b': 6}}] END, recursive := true) FROM supplier))"""
 
 ORACLES["structured_chunks"] = "WITH RECURSIVE " + _SPANS.strip() + "," + _PY_CHUNKS + "," + f"""
 md_src AS (SELECT source AS project, {FX.DOC_MD_PATH} AS file_path, {FX.DOC_PARAGRAPHS} AS text

@@ -92,7 +92,7 @@ def test_every_file_that_is_not_blank_has_a_chunk_and_loses_no_word(spark):
 
     rng = random.Random(9)
     parts = ["x = 1", "def f():\n    return 1", "\x0c", "\x0b", "\r", "\r\n", "\n", "\u2028", "\x85",
-             "class C:\n    y = 2", "# note", '"""a\n\nb"""', "(", " ", "\x1c"]
+             "class C:\n    y = 2", "\n# note", '"""a\n\nb"""', "(", " ", "\x1c"]
     files = [("p", f"f{i}.py", "".join(rng.choice(parts) + rng.choice(["\n", "", "\n\n"])
                                        for _ in range(rng.randint(1, 7)))) for i in range(300)]
     df = spark.createDataFrame(files, "project string, file_path string, content string")

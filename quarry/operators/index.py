@@ -2,15 +2,18 @@
 
 Refreshing a project rewrites only its partition (dynamic partition overwrite), so other projects
 stay readable throughout and the job commit makes the switch atomic per partition. Reads prune to
-the requested projects.
+the requested projects. ``project`` is always a STRING, whatever the names look like (``007`` and ``7`` are
+two projects).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import chunk_key
+from quarry.session import scratch_path
 
 INDEX_COLUMNS = ["project", "file_path", "chunk_index", "chunk_key", "language", "content",
                  "path_tokens", "symbol_name", "symbol_type", "start_line", "end_line",
@@ -30,39 +33,61 @@ def refresh_projects(index_rows: DataFrame, path: str,
                      rows_per_file: int = INDEX_ROWS_PER_FILE) -> None:
     """Full refresh of every project present in ``index_rows``; other projects are untouched.
 
-    The write is narrow: no shuffle by project (a project holding a large share of all chunks
-    would otherwise be written by one task). Each task writes its own rows per project, files are
-    capped at ``rows_per_file`` rows, and dynamic partition overwrite swaps exactly the projects
-    present in the input.
+    Rows are rebalanced by project: small projects share a task (so a project is a few files, not
+    one per input task) and AQE splits a project that is too large for one. Files are capped at
+    ``rows_per_file`` rows, and dynamic partition overwrite swaps exactly the projects present in
+    the input.
     """
     rows = to_index_rows(index_rows) if "chunk_key" not in index_rows.columns else index_rows
-    (rows.write.mode("overwrite")
+    rows = rows.withColumn("project", F.col("project").cast("string"))
+    (rows.hint("rebalance", "project").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .option("maxRecordsPerFile", rows_per_file)
      .partitionBy("project")
      .parquet(path))
 
 
+def partition_path(spark: SparkSession, path: str, project: str) -> str:
+    """The folder of one project, with the name escaped the way partition writers do."""
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return f"{path.rstrip('/')}/{utils.getPartitionPathString('project', project)}"
+
+
 def drop_projects(spark: SparkSession, path: str, projects: DataFrame) -> DataFrame:
     """Remove the partitions of ``projects(name)``; returns ``(project, chunks_deleted)``.
 
     Dynamic overwrite cannot delete a partition, so the listed partitions are removed with the
-    Hadoop file system API (one call per project, no data read beyond the counts).
+    Hadoop file system API (one call per project, streamed to the driver, no data read beyond the
+    counts). A folder that is still there afterwards is an error, never a reported success.
     """
     current = read_index(spark, path)
-    gone = current.join(projects.select(F.col("name").alias("project")), "project", "left_semi") \
-        .groupBy("project").agg(F.count(F.lit(1)).alias("chunks_deleted")).collect()
+    gone = materialise(current.join(projects.select(F.col("name").alias("project")).distinct(), "project",
+                                    "left_semi")
+                       .groupBy("project").agg(F.count(F.lit(1)).alias("chunks_deleted")), "dropped")
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    for row in gone:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/project={row['project']}")
-        p.getFileSystem(hconf).delete(p, True)
-    return spark.createDataFrame([(r["project"], int(r["chunks_deleted"])) for r in gone],
-                                 "project string, chunks_deleted long")
+    for row in gone.select("project").toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(partition_path(spark, path, row["project"]))
+        fs = p.getFileSystem(hconf)
+        if not fs.delete(p, True) or fs.exists(p):
+            raise OSError(f"partition of project {row['project']!r} was not deleted: {p.toString()}")
+    spark.catalog.refreshByPath(path)
+    return gone
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back (a fixed input for what follows)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, projects: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    """The index table; partition names are never read as numbers or dates."""
+    found = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
+    schema = T.StructType([f for f in found if f.name != "project"] + [T.StructField("project", T.StringType())])
+    df = spark.read.schema(schema).parquet(path)
     if projects is not None:
         df = df.where(F.col("project").isin(projects))
     return df
@@ -93,7 +118,9 @@ def index_projects(files: DataFrame, path: str, embed, registry: DataFrame | Non
     or text with ``decoded=True``); ``embed`` maps a text Column to a vector Column (e.g.
     ``lambda c: hashed_embedding(c)``). Only projects present in ``files`` are rewritten.
     With a ``registry``, files of unregistered projects are left out, registered projects
-    without chunks are reported as ``no_chunks``, and the stamped registry is returned.
+    without chunks are reported as ``no_chunks``, and the stamped registry is returned. The summary
+    counts the rows of this run only: a project whose files now give no chunks is ``no_chunks``, keeps
+    its old rows and is not stamped.
 
     Returns ``(summary, registry_after)``; ``registry_after`` is None without a registry.
     """
@@ -108,15 +135,29 @@ def index_projects(files: DataFrame, path: str, embed, registry: DataFrame | Non
     chunks = (with_search_text(structured_chunks(files, settings)) if decoded
               else build_chunks(files, settings))
     rows = to_index_rows(chunks.withColumn("embedding", embed(F.col("search_text"))))
+    # computed once: the table is written from these rows and the summary counts them
+    rows = materialise(rows, "index_rows")
     refresh_projects(rows, path)
-    written = files.sparkSession.read.parquet(path).join(
-        files.select("project").distinct(), "project", "left_semi")
-    summary = index_summary(written, registry)
+    summary = index_summary(rows, registry)
+    if registry is None:
+        empty = files.select("project").distinct().join(summary, "project", "left_anti")
+        summary = summary.unionByName(empty.select(
+            "project", F.lit(0).cast("long").alias("files_indexed"),
+            F.lit(0).cast("long").alias("chunks_indexed"), F.lit("no_chunks").alias("status")))
     if registry is None:
         return summary, None
     stamped = rg.stamp_indexed(registry, summary.where(F.col("chunks_indexed") > 0), now=now)
     return summary, stamped
 
 
+def index_totals(summary: DataFrame) -> DataFrame:
+    """One row over an index run: projects, projects with chunks, files and chunks."""
+    return summary.agg(
+        F.count(F.lit(1)).alias("projects"),
+        F.count_if(F.col("status") == "ok").alias("projects_indexed"),
+        F.coalesce(F.sum("files_indexed"), F.lit(0)).cast("long").alias("files_indexed"),
+        F.coalesce(F.sum("chunks_indexed"), F.lit(0)).cast("long").alias("chunks_indexed"))
+
+
 # "Insert" replaces a project's chunks (same operator); there is deliberately no append.
 insert_chunks = refresh_projects

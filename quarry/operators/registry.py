@@ -8,6 +8,7 @@ result is a new version of the table (Parquet has no in-place MERGE); write it w
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,21 @@ def empty_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], REGISTRY_SCHEMA)
 
 
+def _absent(error: AnalysisException) -> bool:
+    return (error.getCondition() or "").split(".")[0] == "PATH_NOT_FOUND"
+
+
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Read a registry version; a missing or unreadable location yields an empty registry."""
+    """Read a registry version; a path that does not exist yields an empty registry (a first run).
+
+    Every other failure (permissions, a flaky store, damaged files) is raised: an empty registry
+    would be saved over the real one.
+    """
     try:
         return spark.read.schema(REGISTRY_SCHEMA).parquet(path)
-    except Exception:  # absent path -> empty registry, like a first run
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
         return empty_registry(spark)
 
 
@@ -48,7 +59,9 @@ def load_registry_json(spark: SparkSession, path: str) -> DataFrame:
     """
     try:
         raw = spark.read.text(path, wholetext=True)
-    except Exception:  # absent file -> empty registry
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
         return empty_registry(spark)
     parsed = raw.select(F.from_json("value", STATE_JSON_SCHEMA).alias("s"))
     rows = parsed.select(F.explode_outer("s.projects").alias("key", "p")).where(F.col("key").isNotNull())
@@ -136,8 +149,9 @@ def remove_projects(current: DataFrame, removals: DataFrame) -> tuple[DataFrame,
     """
     names = removals.select("name").distinct()
     remaining = current.join(names, "name", "left_anti")
-    outcome = names.join(current.select("name", "last_indexed_chunk_count"), "name", "left") \
-        .select("name", F.col("last_indexed_chunk_count").isNotNull().alias("ok"),
+    outcome = names.join(current.select("name", "last_indexed_chunk_count", F.lit(True).alias("_known")),
+                         "name", "left") \
+        .select("name", F.coalesce("_known", F.lit(False)).alias("ok"),
                 F.coalesce("last_indexed_chunk_count", F.lit(0)).cast("long")
                 .alias("chunks_deleted"))
     return remaining, outcome
@@ -157,10 +171,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = REGISTRY_BROADCAST_ROWS) -
 def lookup(requests: DataFrame, registry: DataFrame, project_col: str = "project") -> DataFrame:
     """Attach the registry record to each request; ``status`` is ``ok`` or ``not_registered``."""
     reg = broadcast_if_small(
-        registry.select(F.col("name").alias(project_col), "index_name", "project_path"))
+        registry.select(F.col("name").alias(project_col), "index_name", "project_path",
+                        F.lit(True).alias("_known")))
     return requests.join(reg, project_col, "left").withColumn(
-        "status", F.when(F.col("index_name").isNull(), F.lit("not_registered"))
-        .otherwise(F.lit("ok")))
+        "status", F.when(F.col("_known"), F.lit("ok")).otherwise(F.lit("not_registered"))).drop("_known")
 
 
 def list_projects(registry: DataFrame) -> DataFrame:
@@ -170,3 +184,46 @@ def list_projects(registry: DataFrame) -> DataFrame:
         F.coalesce("last_indexed_chunk_count", F.lit(0)).cast("long")
         .alias("last_indexed_chunk_count"),
     ).orderBy(F.lower("name"), "name")
+
+
+def register_discovered(registry: DataFrame, discovered: DataFrame, now=None,
+                        settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
+    """Bulk registration: project discovery feeds the upsert (``discovered(name, project_path)``)."""
+    return upsert_projects(registry, discovered.select("name", "project_path"), now, settings)
+
+
+def registry_counts(registry: DataFrame) -> DataFrame:
+    """One row: projects, projects that were indexed, and their recorded chunks."""
+    return registry.agg(
+        F.count(F.lit(1)).alias("projects"),
+        F.count("last_indexed_at").alias("indexed_projects"),
+        F.coalesce(F.sum("last_indexed_chunk_count"), F.lit(0)).cast("long").alias("chunks"))
+
+
+def compact_registered(registry: DataFrame) -> DataFrame:
+    """The short form of a registration: name, path and index name."""
+    return registry.select("name", "project_path", "index_name")
+
+
+def compact_indexed(summary: DataFrame, registry: DataFrame) -> DataFrame:
+    """The short form of an index run per project, with its index name."""
+    names = registry.select(F.col("name").alias("project"), "index_name")
+    return summary.join(broadcast_if_small(names), "project", "left").select(
+        "project", "index_name", "files_indexed", "chunks_indexed", "status")
+
+
+def remove_with_chunks(current: DataFrame, removals: DataFrame, index_path: str) -> tuple[DataFrame, DataFrame]:
+    """Remove registrations together with their chunks in the index table.
+
+    Returns (remaining registry, outcome per requested name) where ``chunks_deleted`` counts the rows
+    that were really dropped from the table.
+    """
+    from quarry.operators.index import drop_projects
+
+    remaining, outcome = remove_projects(current, removals)
+    known = outcome.where("ok").select("name")
+    dropped = drop_projects(current.sparkSession, index_path, known)
+    counted = dropped.select(F.col("project").alias("name"), F.col("chunks_deleted").alias("_n"))
+    outcome = outcome.join(counted, "name", "left").select(
+        "name", "ok", F.coalesce("_n", F.lit(0)).cast("long").alias("chunks_deleted"))
+    return remaining, outcome

@@ -454,6 +454,72 @@ def q_index_summary(spark, sf_dir):
     return normalise_output(ix.index_summary(chunks, registry))
 
 
+def _odd_names(spark, sf_dir):
+    """Documents as files of projects whose names look like numbers or need path escaping."""
+    name = F.expr(FX.ODD_PROJECT)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", name.alias("project"), F.expr(FX.DOC_MD_PATH).alias("file_path"),
+        F.expr(FX.DOC_PARAGRAPHS).alias("content"))
+
+
+def _small_vector(text):
+    return F.array(F.length(text).cast("float"))
+
+
+def q_index_run(spark, sf_dir):
+    """Two index runs with a registry; the second empties project ``src5`` and must not stamp it."""
+    path = scratch_path(spark, "index_run")
+    files = _odd_names(spark, sf_dir).drop("doc_id")
+    known = files.select(F.col("project").alias("name")).distinct().where("name <> 'src6'").unionByName(
+        spark.range(1).select(F.lit("nothing").alias("name")))
+    registry = rg.upsert_projects(rg.empty_registry(spark),
+                                  known.withColumn("project_path", F.concat(F.lit("/ws/"), "name")),
+                                  now=FX.REGISTRY_T0)
+    _, first = ix.index_projects(files, path, _small_vector, registry, now=FX.REGISTRY_T0, decoded=True)
+    emptied = files.withColumn("content", F.when(F.col("project") == "src5", F.lit(" \n "))
+                               .otherwise(F.col("content")))
+    summary, second = ix.index_projects(emptied, path, _small_vector, first, now=FX.REGISTRY_NOW, decoded=True)
+    rows = ix.read_index(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias("rows_in_index"))
+    stamped = second.select(F.col("name").alias("project"), _ts_str("last_indexed_at").alias("last_indexed_at"),
+                            "last_indexed_chunk_count")
+    out = summary.join(stamped, "project").join(rows, "project", "left")
+    return normalise_output(out.withColumn("rows_in_index", F.coalesce("rows_in_index", F.lit(0))))
+
+
+def q_index_drop(spark, sf_dir):
+    """Drop projects with awkward names together with their registration; what is left, what went."""
+    path = scratch_path(spark, "index_drop")
+    files = _odd_names(spark, sf_dir)
+    rows = files.select("project", "file_path", F.lit(0).alias("chunk_index"),
+                        F.concat("file_path", F.lit("#0")).alias("chunk_key"), F.lit("md").alias("language"),
+                        "content", F.lit("").alias("path_tokens"), F.lit(None).cast("string").alias("symbol_name"),
+                        F.lit(None).cast("string").alias("symbol_type"), F.lit(1).alias("start_line"),
+                        F.lit(1).alias("end_line"), _small_vector(F.col("content")).alias("embedding"))
+    ix.insert_chunks(rows, path)
+    registry = rg.upsert_projects(rg.empty_registry(spark),
+                                  files.select(F.col("project").alias("name"), F.lit("/x").alias("project_path")),
+                                  now=FX.REGISTRY_T0)
+    removals = spark.createDataFrame([("007",), ("a:b",), ("50%",), ("absent",)], "name string")
+    remaining, outcome = rg.remove_with_chunks(registry, removals, path)
+    left = ix.read_index(spark, path).groupBy(F.col("project").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    kept = remaining.select("name").join(left, "name", "full_outer").select(
+        "name", F.lit("kept").alias("state"), F.lit(True).alias("ok"), F.col("n").alias("chunks"))
+    return normalise_output(kept.unionByName(outcome.select(
+        "name", F.lit("removed").alias("state"), "ok", F.col("chunks_deleted").alias("chunks"))))
+
+
+def q_registry_round_trip(spark, sf_dir):
+    """Discovery feeds the upsert; the registry is saved, read back, counted and listed compactly."""
+    docs = table(spark, sf_dir, "documents").select(F.expr(FX.DOC_DISCOVERY_PATH).alias("path"))
+    found = src.discover_projects(docs, "path").select(F.col("project").alias("name"))
+    found = found.withColumn("project_path", F.concat(F.lit("/ws/"), "name"))
+    path = scratch_path(spark, "registry")
+    rg.save_registry(rg.register_discovered(rg.load_registry(spark, path), found, FX.REGISTRY_T0), path)
+    back = rg.load_registry(spark, path)
+    counts = rg.registry_counts(back)
+    return normalise_output(rg.compact_registered(back).crossJoin(F.broadcast(counts)))
+
+
 def _ts_str(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -600,6 +666,9 @@ QUERIES = {
     "chunk_vectors": q_chunk_vectors,
     "index_refresh": q_index_refresh,
     "index_summary": q_index_summary,
+    "index_run": q_index_run,
+    "index_drop": q_index_drop,
+    "registry_round_trip": q_registry_round_trip,
     "project_upsert": q_project_upsert,
     "project_stamp": q_project_stamp,
     "project_remove": q_project_remove,

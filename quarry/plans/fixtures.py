@@ -29,6 +29,10 @@ DOC_DISCOVERY_PATH = f"concat({DOC_TOP}, '/', lang, '/doc', {_ID}, '.txt')"
 DOC_PARAGRAPHS = f"replace(text, '. ', concat('.', {NL}, {NL}))"
 DOC_MD_PATH = f"concat(lang, '/doc', {_ID}, '.md')"
 
+# Project names that look like numbers or need escaping in a path.
+ODD_PROJECT = ("CASE source WHEN 'src1' THEN '007' WHEN 'src2' THEN '7' WHEN 'src3' THEN 'a:b' "
+               "WHEN 'src4' THEN '50%' ELSE source END")
+
 # part -> a small Python module per part (every tenth size gets a syntax error).
 _PK = "CAST(p_partkey AS STRING)"
 PART_CLASS = f"concat(replace(p_brand, '#', ''), 'Part', {_PK})"

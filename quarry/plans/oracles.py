@@ -434,3 +434,24 @@ cand0 AS (
 
 ORACLES["search_indexed"] = S.search_ctes(candidates=_INDEXED_CANDIDATES).replace(
     "WITH RECURSIVE", "WITH RECURSIVE", 1) + S.RESULT_SELECT
+
+
+ORACLES["index_run"] = f"""WITH RECURSIVE odd AS (
+  SELECT {FX.ODD_PROJECT} AS project, {FX.DOC_MD_PATH} AS file_path, {FX.DOC_PARAGRAPHS} AS text
+  FROM documents),""" + S.chunk_ctes("odd", ["project", "file_path"], "text").rstrip() + f""",
+per AS (SELECT project, count(DISTINCT file_path) AS files, count(*) AS n FROM ck_out GROUP BY project),
+known AS (SELECT DISTINCT project FROM odd WHERE project <> 'src6' UNION ALL SELECT 'nothing')
+SELECT k.project, CASE WHEN k.project = 'src5' THEN 0 ELSE coalesce(files, 0) END AS files_indexed,
+       CASE WHEN k.project = 'src5' THEN 0 ELSE coalesce(n, 0) END AS chunks_indexed,
+       CASE WHEN k.project = 'src5' OR n IS NULL THEN 'no_chunks' ELSE 'ok' END AS status,
+       CASE WHEN n IS NULL THEN NULL WHEN k.project = 'src5' THEN '{FX.REGISTRY_T0}'
+            ELSE '{FX.REGISTRY_NOW}' END AS last_indexed_at,
+       coalesce(n, 0) AS last_indexed_chunk_count, coalesce(n, 0) AS rows_in_index
+FROM known k LEFT JOIN per p USING (project)"""
+
+ORACLES["index_drop"] = f"""WITH odd AS (
+  SELECT {FX.ODD_PROJECT} AS name, count(*) AS n FROM documents GROUP BY 1)
+SELECT name, 'kept' AS state, true AS ok, n AS chunks FROM odd WHERE name NOT IN ('007', 'a:b', '50%')
+UNION ALL
+SELECT r.name, 'removed', n IS NOT NULL, coalesce(n, 0)
+FROM (VALUES ('007'), ('a:b'), ('50%'), ('absent')) r(name) LEFT JOIN odd USING (name)"""

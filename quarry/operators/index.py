@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import chunk_key
-from quarry.session import scratch_path
+from quarry.session import materialise
 
 INDEX_COLUMNS = ["project", "file_path", "chunk_index", "chunk_key", "language", "content",
                  "path_tokens", "symbol_name", "symbol_type", "start_line", "end_line",
@@ -75,14 +75,6 @@ def drop_projects(spark: SparkSession, path: str, projects: DataFrame) -> DataFr
     return gone
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (a fixed input for what follows)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_index(spark: SparkSession, path: str, projects: list[str] | None = None) -> DataFrame:
     """The index table; partition names are never read as numbers or dates."""
     found = spark.read.option("recursiveFileLookup", "true").parquet(path).schema

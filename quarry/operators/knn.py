@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import DEFAULT_SETTINGS, Settings
-from quarry.session import ship_package
+from quarry.session import materialise, ship_package
 
 # ---------------------------------------------------------------------------------------------
 # Matrix kernel shared by both operators.
@@ -50,38 +50,46 @@ def _normalise(m: np.ndarray) -> np.ndarray:
 
 
 def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    """(queries x rows) distance matrix; ``q`` and ``c`` are raw (not normalised) vectors."""
+    """(queries x rows) distance matrix; for cosine both sides are normalised already."""
     if metric == "cosine":
-        return 1.0 - _normalise(q) @ _normalise(c).T
+        return 1.0 - q @ c.T
     sq = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2.0 * (q @ c.T)
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _top_rows(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query_idx, row_idx) of the k smallest distances per query, ties at the cut kept."""
-    m = dist.shape[1]
-    if m <= k:
-        qi, ri = np.nonzero(np.ones_like(dist, dtype=bool))
-        return qi, ri
-    kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
-    return np.nonzero(dist <= kth[:, None])
+#: Cells of one distance matrix: queries are tiled so that a batch of rows stays within it.
+TILE_CELLS = 4 << 20
 
 
-def _reduce(cands: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
-    """Keep the k best rows per query (ties at the cut kept) of a candidate column dict."""
-    q, d = cands["q"], cands["d"]
-    if len(q) == 0:
-        return cands
-    order = np.lexsort((d, q))
-    q_sorted, d_sorted = q[order], d[order]
-    starts = np.r_[0, np.nonzero(np.diff(q_sorted))[0] + 1]
-    group_start = np.repeat(starts, np.diff(np.r_[starts, len(q_sorted)]))
-    rank = np.arange(len(q_sorted)) - group_start
-    kth_pos = np.minimum(group_start + k - 1, np.repeat(np.r_[starts[1:], len(q_sorted)] - 1,
-                                                        np.diff(np.r_[starts, len(q_sorted)])))
-    keep = (rank < k) | (d_sorted <= d_sorted[kth_pos])
-    sel = order[keep]
-    return {name: col[sel] for name, col in cands.items()}
+def _top_rows(dist: np.ndarray, k: int, order) -> tuple[np.ndarray, np.ndarray]:
+    """(query_idx, row_idx) of exactly min(k, rows) rows per query: smallest distance, then ``order``.
+
+    ``order()`` gives each row's place among the rows by id; it is only asked for when ties straddle
+    the cut, e.g. for a zero query vector, to which every row is equally near.
+    """
+    n, m = dist.shape
+    if m <= k:
+        return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
+    keep = dist <= kth[:, None]
+    many = np.flatnonzero(keep.sum(axis=1) > k)
+    if len(many):
+        place = order()
+        for q in many:
+            ties = np.flatnonzero(dist[q] == kth[q])
+            spare = keep[q].sum() - k
+            keep[q, ties[np.argsort(place[ties])[len(ties) - spare:]]] = False
+    return np.nonzero(keep)
+
+
+def _reduce(cands: pa.Table, id_cols: list[str], k: int) -> pa.Table:
+    """The k best rows per query (distance, then ids) of a candidate table."""
+    cands = cands.combine_chunks().sort_by([("q", "ascending"), ("d", "ascending")]
+                                           + [(c, "ascending") for c in id_cols])
+    q = cands.column("q").to_numpy()
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return cands.filter(pa.array(rank < k))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -89,7 +97,7 @@ def _reduce(cands: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------------------------------------
 
 
-def _collect_query_block(table: pa.Table, group_col, query_id: str, emb: str, k_col: str):
+def _collect_query_block(table: pa.Table, group_col, query_id: str, emb: str, k_col: str, metric: str):
     payload: dict = {}
     if table.num_rows == 0:
         return payload
@@ -101,6 +109,8 @@ def _collect_query_block(table: pa.Table, group_col, query_id: str, emb: str, k_
     if len(set(dims.tolist())) != 1:
         raise ValueError("query vectors must all have the same dimension")
     mat = _as_matrix(emb_col, int(dims[0]))
+    if metric == "cosine":
+        mat = _normalise(mat)
     by_group: dict = {}
     for i, g in enumerate(groups):
         by_group.setdefault(g, []).append(i)
@@ -134,33 +144,48 @@ def _scan_fn(bc, group_col, id_cols, emb, metric, out_schema):
                 part = batch if g is None else batch.filter(pc.equal(batch.column(group_col), g))
                 if part.num_rows == 0:
                     continue
-                qids, qmat, ks = payload[g]
+                _, qmat, ks = payload[g]
                 vecs = part.column(emb)
                 lengths = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
                 if (lengths != qmat.shape[1]).any():
                     raise ValueError("index vector dimension differs from the query dimension")
-                dist = _distances(qmat, _as_matrix(vecs, qmat.shape[1]), metric)
+                rows = _as_matrix(vecs, qmat.shape[1])
+                if metric == "cosine":
+                    rows = _normalise(rows)
+                ids = part.select(id_cols)
+
+                def order(ids=ids):
+                    place = np.empty(ids.num_rows, np.int64)
+                    by_id = pc.sort_indices(ids, sort_keys=[(c, "ascending") for c in id_cols])
+                    place[by_id.to_numpy()] = np.arange(ids.num_rows)
+                    return place
+
                 kmax = int(ks.max())
-                qi, ri = _top_rows(dist, kmax)
-                cands = {"q": qi.astype(np.int64), "d": dist[qi, ri]}
-                taken = part.select(id_cols).take(pa.array(ri))
-                for name in id_cols:
-                    cands["id:" + name] = np.asarray(taken.column(name).to_pylist(), dtype=object)
-                prev = state.get(g)
-                if prev is not None:
-                    cands = {n: np.concatenate([prev[n], cands[n]]) for n in cands}
-                state[g] = _reduce(cands, kmax)
-        for g, cands in state.items():
+                tile = max(1, TILE_CELLS // len(rows))
+                for at in range(0, len(qmat), tile):
+                    dist = _distances(qmat[at:at + tile], rows, metric)
+                    qi, ri = _top_rows(dist, kmax, order)
+                    found = ids.take(pa.array(ri))
+                    cands = pa.table({"q": pa.array(qi + at, pa.int64()), "d": pa.array(dist[qi, ri]),
+                                      **{c: found.column(c) for c in id_cols}})
+                    state.setdefault(g, []).append(cands)
+                held = state[g]
+                # fold when as much again has gathered: at most k rows per query stay
+                if len(held) > 1 and sum(t.num_rows for t in held[1:]) >= max(held[0].num_rows, 1 << 16):
+                    state[g] = [_reduce(pa.concat_tables(held), id_cols, kmax)]
+        for g, held in state.items():
             qids, _, ks = payload[g]
-            if len(cands["q"]) == 0:
+            cands = _reduce(pa.concat_tables(held), id_cols, int(ks.max()))
+            if not cands.num_rows:
                 continue
-            cols = {"query_id": pa.array(qids[cands["q"]], pa.int64())}
+            q = cands.column("q").to_numpy()
+            cols = {"query_id": pa.array(qids[q], pa.int64())}
             for name in id_cols:
-                cols[name] = pa.array(cands["id:" + name].tolist(),
-                                      out_schema.field(name).type)
-            cols["distance"] = pa.array(cands["d"], pa.float64())
-            cols["k"] = pa.array(ks[cands["q"]], pa.int32())
-            yield pa.RecordBatch.from_pydict(cols, schema=out_schema)
+                cols[name] = cands.column(name).combine_chunks().cast(out_schema.field(name).type)
+            cols["distance"] = cands.column("d").combine_chunks()
+            cols["k"] = pa.array(ks[q], pa.int32())
+            table = pa.table(cols, schema=out_schema)
+            yield from table.to_batches()
 
     return run
 
@@ -174,7 +199,9 @@ ASSUMED_MAX_DIM = 4096
 
 
 def _query_blocks(qsel: DataFrame, query_id: str, settings: Settings):
-    """Arrow tables of query rows, each within ``knn_broadcast_max_bytes``; and the row count.
+    """Generator of Arrow tables of query rows, each within ``knn_broadcast_max_bytes``.
+
+    One block is in the driver at a time: it is broadcast (to files) before the next is collected.
 
     Common case, one job: up to ``budget / (8 * ASSUMED_MAX_DIM)`` rows are collected directly and
     their real size checked. Larger query tables are counted, then split by a hash of the query id
@@ -187,13 +214,18 @@ def _query_blocks(qsel: DataFrame, query_id: str, settings: Settings):
         dims = pc.list_value_length(first.column("_emb").combine_chunks())
         dim = int(pc.max(dims).as_py() or 0) if first.num_rows else 0
         if first.num_rows * dim * 8 <= budget:
-            return ([first] if first.num_rows else []), first.num_rows
+            if first.num_rows:
+                yield first
+            return
+    del first
     stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_emb")).alias("dim")).first()
     n, dim = int(stats["n"]), int(stats["dim"] or 0)
     blocks = max(1, math.ceil(n * dim * 8 / budget))
-    tables = [qsel.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).toArrow()
-              for b in range(blocks)]
-    return [t for t in tables if t.num_rows], n
+    for b in range(blocks):
+        block = qsel.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).toArrow()
+        if block.num_rows:
+            yield block
+        del block
 
 
 def knn_exact_counted(index: DataFrame, queries: DataFrame, k, *, id_cols,
@@ -223,11 +255,12 @@ def knn_exact_counted(index: DataFrame, queries: DataFrame, k, *, id_cols,
         + [T.StructField(name, idx_fields[name].dataType) for name in id_cols]
         + [T.StructField("distance", T.DoubleType()), T.StructField("k", T.IntegerType())])
 
-    tables, n = _query_blocks(qsel, query_id, settings)
+    n = 0
     idx_cols = ([group_col] if group_col else []) + id_cols + [embedding]
     parts = []
-    for table in tables:
-        payload = _collect_query_block(table, group_col, query_id, "_emb", "_k")
+    for table in _query_blocks(qsel, query_id, settings):
+        n += table.num_rows
+        payload = _collect_query_block(table, group_col, query_id, "_emb", "_k", metric)
         scan = index.select(*idx_cols)
         if group_col:
             groups = list(payload.keys())
@@ -236,7 +269,9 @@ def knn_exact_counted(index: DataFrame, queries: DataFrame, k, *, id_cols,
             else:
                 wanted = spark.createDataFrame([(g,) for g in groups], [group_col])
                 scan = scan.join(F.broadcast(wanted), group_col, "left_semi")
+        del table
         bc = spark.sparkContext.broadcast(payload)
+        del payload
         parts.append(scan.mapInArrow(
             _scan_fn(bc, group_col, id_cols, embedding, metric, out_arrow), out_struct))
     if not parts:
@@ -294,25 +329,30 @@ def _hyperplanes(dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
 
 def lsh_signatures(df: DataFrame, embedding: str, *, dim: int, bands: int = 8, bits: int = 8,
                    seed: int = 7) -> DataFrame:
-    """Adds ``band`` and ``bucket`` columns (one row per band): random-hyperplane signs."""
+    """Adds ``signature`` (one bucket number per band): random-hyperplane signs.
+
+    Rows without a vector are left out: they belong to no bucket. The result is narrow work and can
+    be stored with the index.
+    """
     planes = _hyperplanes(dim, bands, bits, seed)
     weights = (1 << np.arange(bits)).astype(np.int64)
-    schema = T.StructType(df.schema.fields + [T.StructField("_sig", T.ArrayType(T.LongType()))])
-    arrow_schema = None
+    schema = T.StructType(df.schema.fields + [T.StructField("signature", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        nonlocal arrow_schema
         for batch in batches:
-            vecs = batch.column(embedding)
-            mat = _as_matrix(vecs, dim) if batch.num_rows else np.zeros((0, dim))
+            batch = batch.filter(pc.is_valid(batch.column(embedding)))
+            mat = _as_matrix(batch.column(embedding), dim) if batch.num_rows else np.zeros((0, dim))
             signs = (mat @ planes.T) > 0
             codes = (signs.reshape(-1, bands, bits) * weights).sum(axis=2)
             sig = pa.array(codes.tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(batch.columns + [sig], names=batch.schema.names + ["_sig"])
+            yield pa.RecordBatch.from_arrays(batch.columns + [sig], names=batch.schema.names + ["signature"])
 
-    signed = df.mapInArrow(run, schema)
-    return signed.select(*df.columns, F.posexplode_outer("_sig").alias("band", "bucket")) \
-        .where(F.col("band").isNotNull())
+    return df.mapInArrow(run, schema)
+
+
+def _by_band(signed: DataFrame) -> DataFrame:
+    return signed.select(*[c for c in signed.columns if c != "signature"],
+                         F.posexplode("signature").alias("band", "bucket"))
 
 
 def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id: str = "query_id",
@@ -335,19 +375,22 @@ def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id:
     id_cols = list(id_cols)
     dim = int(queries.select(F.max(F.size(embedding))).first()[0] or 0)
     group = [group_col] if group_col else []
+    # each side is signed once; sizes and buckets read what was written
     q = lsh_signatures(queries.select(F.col(query_id).cast("long").alias("query_id"), *group,
                                       F.col(embedding).alias("embedding")),
                        "embedding", dim=dim, bands=bands, bits=bits, seed=seed)
+    q = _by_band(materialise(q, "lsh_queries"))
     ix = lsh_signatures(index.select(*id_cols, *[c for c in group if c not in id_cols],
                                      F.col(embedding).alias("embedding")),
                         "embedding", dim=dim, bands=bands, bits=bits, seed=seed)
+    ix = _by_band(materialise(ix, "lsh_index"))
     keys = ["band", "bucket"] + group
     isizes = ix.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_group)).cast("int").alias("n_isalts"))
     qsizes = q.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(queries_per_group)).cast("int").alias("n_qsalts"))
     sizes = isizes.join(qsizes, keys)
-    if not group:
+    if not group and bands << bits <= MAX_SIZES_BROADCAST:
         sizes = F.broadcast(sizes)  # at most bands * 2**bits rows
     elif sizes.limit(MAX_SIZES_BROADCAST + 1).count() <= MAX_SIZES_BROADCAST:
         sizes = F.broadcast(sizes)  # checked: per-group bucket sizes can grow with the groups
@@ -374,8 +417,18 @@ def knn_lsh(index: DataFrame, queries: DataFrame, k: int, *, id_cols, query_id:
             return out_arrow.empty_table()
         qmat = _as_matrix(left.column("embedding").combine_chunks(), dim)
         cmat = _as_matrix(right.column("embedding").combine_chunks(), dim)
+        if metric == "cosine":
+            qmat, cmat = _normalise(qmat), _normalise(cmat)
+        ids = right.select(id_cols)
+
+        def order():
+            place = np.empty(ids.num_rows, np.int64)
+            place[pc.sort_indices(ids, sort_keys=[(c, "ascending") for c in id_cols]).to_numpy()] = \
+                np.arange(ids.num_rows)
+            return place
+
         dist = _distances(qmat, cmat, metric)
-        qi, ri = _top_rows(dist, k)
+        qi, ri = _top_rows(dist, k, order)
         cols = [left.column("query_id").combine_chunks().take(pa.array(qi))]
         cols += [right.column(n).combine_chunks().take(pa.array(ri)) for n in id_cols]
         cols.append(pa.array(dist[qi, ri], pa.float64()))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_SETTINGS, MAX_CANDIDATES, Settings
 from quarry.functions import text as tx
+from quarry.session import materialise
 from quarry.operators.knn import knn_exact_counted, knn_lsh
 from quarry.operators.lexical import with_lexical_bonus, with_query_terms
 
@@ -80,10 +81,6 @@ def _retrieve_lsh(index: DataFrame, queries: DataFrame,
     return hits, n
 
 
-def retrieve(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
-    return retrieve_counted(index, queries, settings)[0]
-
-
 CANDIDATE_ROW_BYTES = 256  # key columns of one candidate row, generous
 
 
@@ -149,6 +146,9 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     ``embed`` (a function from a text Column to a vector Column) embeds queries that come without
     an ``embedding`` column; equal texts (up to white space) are embedded once.
 
+    The search runs once, when this function is called; both returned tables read its written result.
+    Repeated query ids are an error.
+
     Returns ``(results, summary)``.
     """
     if "embedding" not in queries.columns:
@@ -159,7 +159,11 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
         queries = embed_unique_texts(queries, "query", embed,
                                      max_broadcast_bytes=settings.knn_broadcast_max_bytes,
                                      dim_hint=settings.embedding_dimensions)
-    prepared = prepare_queries(queries, settings)
+    # evaluated once: the kernel, the candidate join and the summary all read this table
+    prepared = materialise(prepare_queries(queries, settings), "queries")
+    twice = prepared.groupBy("query_id").count().where("count > 1").select("query_id").limit(3).collect()
+    if twice:
+        raise ValueError(f"query_id must be unique; repeated: {[r.query_id for r in twice]}")
     if registry is not None:
         from quarry.operators.registry import broadcast_if_small
 
@@ -181,6 +185,8 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
                            & (F.col("rank") <= F.col("eff_limit")))
     results = results.withColumn("used_fallback", ~F.col("passes")) \
         .withColumn("applied_min_score", F.col("threshold"))
+    # one run of the search: results and summary read what it wrote
+    results = materialise(results.select(*RESULT_COLUMNS, "used_fallback", "applied_min_score"), "results")
     per_query = results.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("count"),
         F.max("used_fallback").alias("used_fallback"),

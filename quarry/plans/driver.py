@@ -4,7 +4,8 @@ Each ``q_<name>(spark, sf_dir)`` returns a DataFrame; ``ORACLES[name]`` (built i
 restates it in SQL for DuckDB. Shapes derived from the given tables:
 
 * documents -> files / chunks: ``project = source``, ``file_path = lang/doc<id>.txt``;
-* documents + embeddings -> the index (chunk vector = embedding with ``vec_id = doc_id``);
+* documents + embeddings -> the index: every document, with embedding ``doc_id mod n`` rotated by
+  ``doc_id div n`` places as its chunk vector;
 * benchmark + embeddings -> queries (``vec_id = item_id``), project = source of the document with
   the same id; the query text is the whole benchmark text.
 
@@ -68,7 +69,12 @@ def doc_path() -> F.Column:
 def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     emb = table(spark, sf_dir, "embeddings")
-    return docs.join(emb, docs.doc_id == emb.vec_id).select(
+    # every document has a vector: the given ones in turn, rotated by one place per turn
+    n = emb.count()
+    own = F.pmod(docs.doc_id, F.lit(n)) == emb.vec_id
+    turn = F.pmod(F.floor(docs.doc_id / F.lit(n)), F.size("embedding")).cast("int")
+    vector = F.concat(F.slice("embedding", turn + 1, F.size("embedding")), F.slice("embedding", F.lit(1), turn))
+    return docs.join(emb, own).select(
         F.col("source").alias("project"),
         doc_path().alias("file_path"),
         F.lit(0).alias("chunk_index"),
@@ -79,7 +85,7 @@ def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("symbol_type"),
         F.lit(1).alias("start_line"),
         (tx.count_char("text") + 1).alias("end_line"),
-        F.col("embedding"),
+        vector.alias("embedding"),
     )
 
 
@@ -110,6 +116,8 @@ def varied_limit() -> F.Column:
     return F.lit(3) + F.pmod(F.col("query_id"), F.lit(4))
 
 
+# Recall at 10 of these settings on the given (hardly clustered) vectors: at least 0.9, see the tests.
+LSH_BANDS, LSH_BITS = 16, 4
 VARIED_LIMIT_SQL = "(3 + b.item_id % 4)"
 
 
@@ -128,8 +136,8 @@ def q_search_code(spark, sf_dir):
 
 
 def q_search_lsh(spark, sf_dir):
-    """The flagship with approximate (LSH) retrieval inside each project; rows-only check."""
-    settings = DEFAULT_SETTINGS.with_(retrieval="lsh", lsh_bands=8, lsh_bits=4)
+    """The flagship with approximate (LSH) retrieval inside each project."""
+    settings = DEFAULT_SETTINGS.with_(retrieval="lsh", lsh_bands=LSH_BANDS, lsh_bits=LSH_BITS)
     results, _ = srch.search(doc_index(spark, sf_dir), bench_queries(spark, sf_dir), settings)
     return _result_view(results)
 
@@ -175,7 +183,7 @@ def q_knn_topk(spark, sf_dir):
 def q_knn_lsh(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     res = knn_lsh(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_cols=["vec_id"],
-                  bands=8, bits=4)
+                  bands=LSH_BANDS, bits=LSH_BITS)
     return normalise_output(res.select("query_id", "vec_id", "rank", "distance"))
 
 
@@ -235,14 +243,36 @@ def _page_parts(pages):
 def q_file_scan(spark, sf_dir):
     """Pages as files: absolute paths under ``/workspace/<host>`` made project-relative."""
     pages = _page_parts(table(spark, sf_dir, "pages")).select(
-        "page_id", F.col("host").alias("project"), F.length("html").alias("n_chars"),
+        "page_id", F.col("host").alias("project"), "html",
         F.concat(F.lit("/workspace/"), "host", F.lit("/"), "path", F.lit(".html")).alias("abs_path"),
         F.concat(F.lit("/workspace/"), "host").alias("root"))
-    files = src.from_table(pages, "project", "abs_path", "n_chars", root=F.col("root"))
-    files = files.select("project", "file_path", F.col("content").alias("n_chars"))
-    ids = pages.select("page_id", "project", "n_chars",
-                       tx.relative_path("abs_path", "root").alias("file_path"))
-    return normalise_output(ids.join(files, ["project", "file_path", "n_chars"], "left_semi"))
+    files = src.from_table(pages, "project", "abs_path", "html", root=F.col("root"), keep=("page_id",))
+    return normalise_output(files)
+
+
+def q_tree_scan(spark, sf_dir):
+    """Pages written as real files, then read back by both file adapters."""
+    root = scratch_path(spark, "tree")
+    pages = table(spark, sf_dir, "pages").select(
+        F.expr(FX.PAGE_PROJECT).alias("project"), F.expr(FX.PAGE_FILE).alias("file_path"), "html")
+
+    def write(rows):
+        import os
+
+        base = root[len("file:"):] if root.startswith("file:") else root
+        for r in rows:
+            full = f"{base}/{r.project}/{r.file_path}"
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "wb") as out:
+                out.write(r.html.encode())
+
+    pages.foreachPartition(write)
+    found = []
+    for adapter, files in (("tree", src.from_tree(spark, root)), ("binary", src.from_binary_files(spark, root))):
+        kept = src.select_source_files(files)
+        found.append(kept.select(F.lit(adapter).alias("adapter"), "project", "file_path",
+                                 F.length("content").alias("n_bytes"), F.md5("content").alias("digest")))
+    return normalise_output(found[0].unionByName(found[1]))
 
 
 def _doc_files(spark, sf_dir):
@@ -440,8 +470,11 @@ def q_index_refresh(spark, sf_dir):
         "left_semi")
     ix.refresh_projects(refreshed, path)
     back = ix.read_index(spark, path)
-    return normalise_output(back.select("project", "file_path", "chunk_index", "chunk_key",
-                                        F.size("embedding").alias("dim")))
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return normalise_output(back.select("project", "file_path", "chunk_index", "chunk_key", "content",
+                                        F.size("embedding").alias("dim"),
+                                        F.element_at("embedding", 1).cast("double").alias("first"),
+                                        F.round(total, 4).alias("total")))
 
 
 def q_index_summary(spark, sf_dir):
@@ -511,7 +544,7 @@ def q_index_drop(spark, sf_dir):
 def q_registry_round_trip(spark, sf_dir):
     """Discovery feeds the upsert; the registry is saved, read back, counted and listed compactly."""
     docs = table(spark, sf_dir, "documents").select(F.expr(FX.DOC_DISCOVERY_PATH).alias("path"))
-    found = src.discover_projects(docs, "path").select(F.col("project").alias("name"))
+    found = src.discover_projects(docs, "path").select("name")
     found = found.withColumn("project_path", F.concat(F.lit("/ws/"), "name"))
     path = scratch_path(spark, "registry")
     rg.save_registry(rg.register_discovered(rg.load_registry(spark, path), found, FX.REGISTRY_T0), path)
@@ -646,6 +679,7 @@ QUERIES = {
     "synonym_expand": q_synonym_expand,
     "project_discovery": q_project_discovery,
     "file_scan": q_file_scan,
+    "tree_scan": q_tree_scan,
     "path_filter": q_path_filter,
     "decode_text": q_decode_text,
     "detect_language": q_detect_language,

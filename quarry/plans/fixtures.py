@@ -29,6 +29,17 @@ DOC_DISCOVERY_PATH = f"concat({DOC_TOP}, '/', lang, '/doc', {_ID}, '.txt')"
 DOC_PARAGRAPHS = f"replace(text, '. ', concat('.', {NL}, {NL}))"
 DOC_MD_PATH = f"concat(lang, '/doc', {_ID}, '.md')"
 
+# pages -> files on disk: a project and a path, some hidden, ignored or unsupported, one repeating
+# the project's name.
+PAGE_PROJECT = "concat('site', CAST(page_id % 7 AS STRING))"
+_PAGE = "CAST(page_id AS STRING)"
+PAGE_FILE = (
+    f"CASE page_id % 8 WHEN 0 THEN concat('node_modules/p', {_PAGE}, '.html') "
+    f"WHEN 1 THEN concat('sub/_p', {_PAGE}, '.html') WHEN 2 THEN concat('.hidden/p', {_PAGE}, '.html') "
+    f"WHEN 3 THEN concat('sub/p', {_PAGE}, '.bin') WHEN 4 THEN concat('site', {_PAGE}, '.HTML') "
+    f"ELSE concat('sub/deep/p', {_PAGE}, '.html') END"
+)
+
 # Project names that look like numbers or need escaping in a path.
 ODD_PROJECT = ("CASE source WHEN 'src1' THEN '007' WHEN 'src2' THEN '7' WHEN 'src3' THEN 'a:b' "
                "WHEN 'src4' THEN '50%' ELSE source END")

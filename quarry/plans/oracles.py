@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarry.plans import sqlparts as S
-from quarry.plans.driver import FALLBACK_MIN_SQL, VARIED_LIMIT_SQL
+from quarry.plans.driver import FALLBACK_MIN_SQL, LSH_BANDS, LSH_BITS, VARIED_LIMIT_SQL
 
 ORACLES: dict[str, str] = {}
 
@@ -101,9 +101,16 @@ ORACLES["file_scan"] = """
 SELECT CAST(page_id AS BIGINT) AS page_id,
        regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS project,
        regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) || '.html' AS file_path,
-       CAST(length(html) AS BIGINT) AS n_chars
+       html AS content
 FROM pages"""
 
+ORACLES["tree_scan"] = f"""WITH f AS (
+  SELECT {FX.PAGE_PROJECT} AS project, {FX.PAGE_FILE} AS file_path, html,
+         page_id % 8 AS kind FROM pages)
+SELECT adapter, project, file_path, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS digest
+FROM f, (VALUES ('tree'), ('binary')) a(adapter)
+WHERE kind NOT IN (0, 3) AND (adapter = 'tree' OR kind NOT IN (1, 2))"""
+
 _DOC_FILES = f"SELECT doc_id, text, {FX.DOC_REL_PATH} AS file_path FROM documents"
 
 ORACLES["path_filter"] = f"""
@@ -299,12 +306,13 @@ SELECT CAST(d.doc_id AS BIGINT) AS doc_id, d.lang || '/doc' || CAST(d.doc_id AS
        round(sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x))), 6) AS norm
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
 
-ORACLES["index_refresh"] = """
+ORACLES["index_refresh"] = f"""
 SELECT d.source AS project, d.lang || '/doc' || CAST(d.doc_id AS VARCHAR) || '.txt' AS file_path,
        CAST(0 AS BIGINT) AS chunk_index,
        d.lang || '/doc' || CAST(d.doc_id AS VARCHAR) || '.txt#0' AS chunk_key,
-       CAST(len(e.embedding) AS BIGINT) AS dim
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+       d.text AS content, CAST(len(e.embedding) AS BIGINT) AS dim,
+       round({S.DOC_VECTOR}[1]::DOUBLE, 6) AS first, round(list_sum({S.DOC_VECTOR}::DOUBLE[]), 4) AS total
+FROM documents d JOIN embeddings e ON {S.DOC_VECTOR_ON}
 WHERE NOT (d.source = 'src0' AND d.lang <> 'en')"""
 
 ORACLES["index_summary"] = "WITH RECURSIVE " + f"""
@@ -455,3 +463,31 @@ SELECT name, 'kept' AS state, true AS ok, n AS chunks FROM odd WHERE name NOT IN
 UNION ALL
 SELECT r.name, 'removed', n IS NOT NULL, coalesce(n, 0)
 FROM (VALUES ('007'), ('a:b'), ('50%'), ('absent')) r(name) LEFT JOIN odd USING (name)"""
+
+
+ORACLES["knn_lsh"] = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)," \
+    + S.lsh_buckets("sig", "e", "vec_id", LSH_BANDS, LSH_BITS) + """,
+met AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id FROM sig a JOIN sig b USING (band, bucket)),
+r AS (SELECT query_id, vec_id, distance,
+             row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+      FROM (SELECT m.query_id, m.vec_id, 1 - list_cosine_similarity(a.v, b.v) AS distance
+            FROM met m JOIN e a ON a.vec_id = m.query_id JOIN e b ON b.vec_id = m.vec_id) x)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(vec_id AS BIGINT) AS vec_id,
+       CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance
+FROM r WHERE rank <= 10"""
+
+ORACLES["search_lsh"] = S.search_ctes(candidates=S.ready_vector_candidates("5", "0.10::DOUBLE").replace(
+    "cand0 AS (", "every AS (", 1) + "," + S.lsh_buckets("qsig", "qry", "query_id", LSH_BANDS, LSH_BITS) + ","
+    + S.lsh_buckets("isig", "idx", "project, file_path, chunk_index", LSH_BANDS, LSH_BITS) + """,
+met AS (SELECT DISTINCT q.query_id, i.project, i.file_path, i.chunk_index
+        FROM qsig q JOIN isig i USING (band, bucket)),
+cand0 AS (SELECT e.* FROM every e JOIN met m USING (query_id, project, file_path, chunk_index))""") \
+    + S.RESULT_SELECT
+
+
+ORACLES["registry_round_trip"] = f"""WITH n AS (
+  SELECT DISTINCT split_part({FX.DOC_DISCOVERY_PATH}, '/', 1) AS name FROM documents)
+SELECT name, '/ws/' || name AS project_path, {S.index_name('name', _PREFIX)} AS index_name,
+       (SELECT count(*) FROM n WHERE name NOT IN {tuple(IGNORED_DIRS)}) AS projects,
+       CAST(0 AS BIGINT) AS indexed_projects, CAST(0 AS BIGINT) AS chunks
+FROM n WHERE name NOT IN {tuple(IGNORED_DIRS)}"""

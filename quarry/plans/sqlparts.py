@@ -72,12 +72,17 @@ def query_terms_ctes(src: str, id_col: str, text_col: str, prefix: str = "") ->
 
 DOC_PATH = "d.lang || '/doc' || CAST(d.doc_id AS VARCHAR) || '.txt'"
 
+_N = "(SELECT count(*) FROM embeddings)"
+_TURN = f"CAST((d.doc_id // {_N}) % len(e.embedding) AS BIGINT)"
+DOC_VECTOR_ON = f"e.vec_id = d.doc_id % {_N}"
+DOC_VECTOR = f"list_concat(e.embedding[{_TURN} + 1:], e.embedding[1:{_TURN}])"
+
 DOC_INDEX = f"""
 idx0 AS (
   SELECT d.source AS project, {DOC_PATH} AS file_path, 0 AS chunk_index, 'txt' AS language,
          d.text AS content, NULL::VARCHAR AS symbol_name, NULL::VARCHAR AS symbol_type,
-         1 AS start_line, {nl_count('d.text')} + 1 AS end_line, e.embedding::DOUBLE[] AS v
-  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+         1 AS start_line, {nl_count('d.text')} + 1 AS end_line, {DOC_VECTOR}::DOUBLE[] AS v
+  FROM documents d JOIN embeddings e ON {DOC_VECTOR_ON}),
 idx AS (SELECT *, {path_tokens('file_path')} AS path_tokens FROM idx0)"""
 
 
@@ -104,6 +109,20 @@ cand0 AS (
   FROM qry JOIN idx ON idx.project = qry.project)"""
 
 
+def lsh_buckets(name: str, src: str, keys: str, bands: int, bits: int, dim: int = 64, seed: int = 7) -> str:
+    """CTEs ``{name}_planes`` and ``{name}(keys, band, bucket)``: signs of ``v`` against the hyperplanes."""
+    import numpy as np
+
+    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
+    rows = ", ".join(f"({j}, [{', '.join(repr(float(x)) for x in p)}]::DOUBLE[])" for j, p in enumerate(planes))
+    return f"""
+{name}_planes AS (SELECT * FROM (VALUES {rows}) AS t(j, p)),
+{name} AS (
+  SELECT {keys}, j // {bits} AS band,
+         sum(CASE WHEN list_dot_product(v, p) > 0 THEN 1 << (j % {bits}) ELSE 0 END) AS bucket
+  FROM {src}, {name}_planes GROUP BY {keys}, j // {bits})"""
+
+
 def search_ctes(limit_sql: str = "5", min_sql: str = "0.10::DOUBLE", fallback: float = 0.03,
                 multiplier: int = 2, candidates: str | None = None) -> str:
     """CTEs through ``results``; ``candidates`` supplies ``qry`` and ``cand0``."""

@@ -36,11 +36,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the cluster's shared checkpoint location.
 
     The location comes from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only when
-    neither is set - a local test session - a private temporary folder is created and registered.
+    neither is set and the master is ``local`` - a test session - a private temporary folder is
+    created and registered; on a cluster a machine-local folder would lose data, so it is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarry-ckpt-")
         sc.setCheckpointDir(base)
     path = base.rstrip("/")
@@ -54,6 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, "quarry", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def materialise(df, name: str):
+    """Write ``df`` once to the shared folder and read it back (a fixed input for what follows)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 

@@ -7,6 +7,8 @@ POSIX paths. It can come from any table, from Spark's ``binaryFile`` source, or
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,15 @@ from quarry.functions import text as tx
 
 
 def from_table(df: DataFrame, project: str = "project", file_path: str = "file_path",
-               content: str = "content", root: str | Column | None = None) -> DataFrame:
-    """Adapter A: any table with a project, a path and bytes or text."""
+               content: str = "content", root: str | Column | None = None,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adapter A: any table with a project, a path and bytes or text (``keep``: further columns)."""
     path = F.col(file_path)
     if root is not None:
         root_col = F.lit(root) if isinstance(root, str) else root
         path = tx.relative_path(path, root_col)
     return df.select(F.col(project).alias("project"), path.alias("file_path"),
-                     F.col(content).alias("content"))
+                     F.col(content).alias("content"), *keep)
 
 
 def from_binary_files(spark: SparkSession, root: str) -> DataFrame:
@@ -33,23 +36,27 @@ def from_binary_files(spark: SparkSession, root: str) -> DataFrame:
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
            .select("path", "content"))
-    root_uri = root if "://" in root or root.startswith("file:") else f"file:{root}"
-    rel = tx.relative_path(F.regexp_replace("path", "^file:/+", "/"),
-                           F.lit(root_uri.replace("file:", "", 1)))
-    return raw.select(
+    # file:/x, file:///x and /x name the same folder; other schemes are compared as they are
+    below = re.sub("^file:/+", "/", root).rstrip("/")
+    rel = tx.relative_path(F.regexp_replace("path", "^file:/+", "/"), F.lit(below))
+    return raw.where(F.instr(rel, "/") > 0).select(
         F.split(rel, "/").getItem(0).alias("project"),
         F.regexp_replace(rel, "^[^/]*/", "").alias("file_path"),
         "content",
-    ).where(F.col("file_path") != F.col("project"))
+    )
 
 
 def from_tree(spark: SparkSession, root: str, salts: int = 4) -> DataFrame:
-    """Adapter C: the ``quarry_tree`` data source (reads hidden files too)."""
+    """Adapter C: the ``quarry_tree`` data source (reads hidden files too).
+
+    A file that cannot be read is a row with NULL content and its error; decoding leaves it out.
+    """
     from quarry.session import ship_package
     from quarry.sources.tree_source import register
 
     ship_package(spark)
     register(spark)
+    root = re.sub("^file:/+", "/", root)
     return spark.read.format("quarry_tree").option("root", root).option("salts", str(salts)).load()
 
 

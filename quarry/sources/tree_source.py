@@ -15,13 +15,16 @@ import zlib
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from quarry.config import IGNORED_DIRS
+from quarry.config import IGNORED_DIRS, SUPPORTED_EXTENSIONS
 
 SCHEMA = StructType([
     StructField("project", StringType(), False),
     StructField("file_path", StringType(), False),
     StructField("content", BinaryType(), True),
+    StructField("error", StringType(), True),
 ])
+_EXTENSIONS = frozenset(SUPPORTED_EXTENSIONS)
+_IGNORED = frozenset(IGNORED_DIRS)
 
 
 class _Part(InputPartition):
@@ -39,7 +42,7 @@ class _TreeReader(DataSourceReader):
     def partitions(self):
         if not os.path.isdir(self.root):
             return [_Part("", 0)]
-        names = sorted(e.name for e in os.scandir(self.root) if e.is_dir())
+        names = sorted(e.name for e in os.scandir(self.root) if e.is_dir() and e.name not in _IGNORED)
         parts = [_Part(n, s) for n in names for s in range(self.salts)]
         return parts or [_Part("", 0)]
 
@@ -48,8 +51,11 @@ class _TreeReader(DataSourceReader):
             return
         base = os.path.join(self.root, partition.project)
         for dirpath, dirnames, filenames in os.walk(base):
-            dirnames.sort()
+            # ignored folders are not entered and other files are not opened
+            dirnames[:] = sorted(d for d in dirnames if d not in _IGNORED)
             for fname in sorted(filenames):
+                if os.path.splitext(fname)[1].lower() not in _EXTENSIONS:
+                    continue
                 full = os.path.join(dirpath, fname)
                 rel = os.path.relpath(full, base).replace(os.sep, "/")
                 if zlib.crc32(rel.encode("utf-8")) % self.salts != partition.salt:
@@ -59,9 +65,10 @@ class _TreeReader(DataSourceReader):
                 try:
                     with open(full, "rb") as fh:
                         data = fh.read()
-                except OSError:
+                except OSError as failure:
+                    yield (partition.project, rel, None, f"{type(failure).__name__}: {failure}")
                     continue
-                yield (partition.project, rel, data)
+                yield (partition.project, rel, data, None)
 
 
 class TreeDataSource(DataSource):
@@ -80,4 +87,4 @@ def register(spark) -> None:
     spark.dataSource.register(TreeDataSource)
 
 
-__all__ = ["TreeDataSource", "register", "IGNORED_DIRS"]
+__all__ = ["TreeDataSource", "register"]

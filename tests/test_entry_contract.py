@@ -1,4 +1,4 @@
-"""The driver contract: keys line up, only approximate queries lack an oracle, imports are cheap."""
+"""The driver contract: keys line up, every query of the library's own has an oracle, imports are cheap."""
 import subprocess
 import sys
 from pathlib import Path
@@ -11,7 +11,8 @@ def test_keys_line_up():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"knn_lsh", "search_lsh"}
+    from quarry.plans.driver import QUERIES
+    assert set(QUERIES) <= set(oracles) and set(QUERIES) <= set(queries)
     assert all(isinstance(sql, str) and sql.strip() for sql in oracles.values())
 
 
@@ -21,4 +22,5 @@ def test_oracles_import_without_a_session():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/tmp",
                          timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.split()[-2:] == ["36", "38"]
+    n_oracles, n_queries = map(int, out.stdout.split()[-2:])
+    assert 43 <= n_oracles <= n_queries

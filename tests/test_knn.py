@@ -79,3 +79,53 @@ def test_lsh_hot_bucket_salting_keeps_results(spark):
                      rows_per_group=7, queries_per_group=3, **args)
     key = lambda r: (r.query_id, r["rank"], r.vec_id)
     assert sorted(map(key, wide.collect())) == sorted(map(key, salted.collect()))
+
+
+def test_ties_never_leave_more_than_k_rows(spark):
+    """A zero query vector is equally near to every row: the k smallest ids come back, and no more."""
+    base = np.random.default_rng(1).standard_normal((500, 8))
+    index = _frame(spark, base, "vec_id").repartition(4)
+    queries = spark.createDataFrame([(1, [0.0] * 8), (2, [0.0] * 8)], "query_id long, embedding array<float>")
+    got = {}
+    for r in knn_exact(index, queries, 10, id_cols=["vec_id"]).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: sorted(v) for q, v in got.items()} == {1: list(range(10)), 2: list(range(10))}
+
+
+def test_kernel_keeps_exactly_k_with_ties_at_the_cut():
+    from quarry.operators.knn import _top_rows
+
+    dist = np.array([[1.0, 0.5, 1.0, 1.0], [2.0, 2.0, 2.0, 2.0]])
+    q, r = _top_rows(dist, 2, lambda: np.array([3, 2, 1, 0]))
+    assert list(zip(q.tolist(), r.tolist())) == [(0, 1), (0, 3), (1, 2), (1, 3)]
+
+
+def test_many_query_tiles_equal_one(spark, monkeypatch):
+    from quarry.operators import knn
+
+    rng = np.random.default_rng(8)
+    index, queries = _frame(spark, rng.standard_normal((200, 8)), "vec_id"), _frame(spark, rng.standard_normal((90, 8)), "query_id")
+    rows = lambda: sorted((r.query_id, r["rank"], r.vec_id) for r in knn.knn_exact(index, queries, 5, id_cols=["vec_id"]).collect())
+    want = rows()
+    monkeypatch.setattr(knn, "TILE_CELLS", 1)
+    assert rows() == want and len(want) == 450
+
+
+def test_lsh_leaves_out_missing_vectors(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(99, None)]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = index.withColumnRenamed("vec_id", "query_id")
+    got = knn_lsh(index, queries, 3, id_cols=["vec_id"], bands=4, bits=2).collect()
+    assert got and not {99} & {x for r in got for x in (r.query_id, r.vec_id)}
+
+
+def test_lsh_recall_target_on_given_vectors(spark):
+    """The registered queries' settings reach recall 0.9 at 10 on the given vectors."""
+    from quarry.plans.driver import LSH_BANDS, LSH_BITS
+
+    emb = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = emb.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    exact = pairs(knn_exact(emb, queries, 10, id_cols=["vec_id"]))
+    found = pairs(knn_lsh(emb, queries, 10, id_cols=["vec_id"], bands=LSH_BANDS, bits=LSH_BITS))
+    assert len(exact & found) / len(exact) >= 0.9

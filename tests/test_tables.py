@@ -230,3 +230,56 @@ def test_decode_matches_rule_on_random_bytes(spark):
     df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, content binary")
     got = {r.i: r.t for r in df.select("i", src.decode_bytes("content").alias("t")).collect()}
     assert [got[i] for i in range(len(blobs))] == [rule(b) for b in blobs]
+
+
+def test_unreadable_registry_is_an_error_not_an_empty_one(spark, tmp_path):
+    import pytest
+
+    assert rg.load_registry(spark, str(tmp_path / "absent")).count() == 0
+    damaged = tmp_path / "damaged"
+    damaged.mkdir()
+    (damaged / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        rg.load_registry(spark, str(damaged)).count()
+
+
+def test_records_with_null_fields_are_still_registered(spark):
+    reg = spark.createDataFrame([("p", None, None, None, None, None, None)], rg.REGISTRY_SCHEMA)
+    asked = spark.createDataFrame([("p",), ("q",)], "project string")
+    assert {r.project: r.status for r in rg.lookup(asked, reg).collect()} == {"p": "ok", "q": "not_registered"}
+    _, outcome = rg.remove_projects(reg, spark.createDataFrame([("p",)], "name string"))
+    assert outcome.first().ok
+
+
+def test_repeated_query_ids_are_rejected(spark):
+    import pytest
+    from quarry.operators.search import search
+
+    index = spark.createDataFrame(
+        [("p", "a.txt", 0, "txt", "alpha", "a txt", None, None, 1, 1, [1.0, 0.0])],
+        "project string, file_path string, chunk_index int, language string, content string, "
+        "path_tokens string, symbol_name string, symbol_type string, start_line int, end_line int, "
+        "embedding array<float>")
+    queries = spark.createDataFrame([(1, "p", "alpha", [1.0, 0.0]), (1, "p", "beta", [0.0, 1.0])],
+                                    "query_id long, project string, query string, embedding array<float>")
+    with pytest.raises(ValueError, match="unique"):
+        search(index, queries)
+
+
+def test_file_adapters_on_a_real_tree(spark, tmp_path):
+    """Ignored folders and unknown extensions are not opened; ``foo/foo`` stays; unreadable files show."""
+    from quarry.sources.files import from_binary_files, from_tree
+    from quarry.sources.tree_source import _Part, _TreeReader
+
+    for name, data in {"foo/foo.py": b"x", "foo/.git/a.py": b"x", "foo/node_modules/a.js": b"x", "foo/b.bin": b"x",
+                       "foo/foo": b"x", "bar/_init.py": b"y"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "foo" / "gone.py").symlink_to(tmp_path / "foo" / "b.bin")
+    tree = {(r.project, r.file_path) for r in from_tree(spark, str(tmp_path)).collect()}
+    assert tree == {("foo", "foo.py"), ("foo", "gone.py"), ("bar", "_init.py")}
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        got = {(r.project, r.file_path) for r in from_binary_files(spark, root).collect()}
+        assert ("foo", "foo.py") in got and ("foo", "foo") in got and "" not in {p for p, _ in got}
+    (tmp_path / "foo" / "bad.py").mkdir()
+    assert all(len(r) == 4 for r in _TreeReader(str(tmp_path), 1).read(_Part("foo", 0)))

@@ -310,7 +310,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     verdict = materialise(jaccard_classes(docs, **options).where("n_shingles > 0"), "verdict")
     gone = verdict.where("doc_id <> class_id or (doc_id is null and class_id is not null)") \
         .select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    # the ids have no size bound: a shuffle join at every size
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
     twice = (verdict.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_twice"))
              .agg(F.count("*").alias("_rows")).where("_rows > 1").select("_twice"))
     if twice.isEmpty():

@@ -74,9 +74,6 @@ QUERY_TOKEN_PATTERN = "[a-z0-9_]{3,}"
 # Length of the prefix term added for long tokens.
 QUERY_PREFIX_LEN = 5
 
-# Hard cap on candidates fetched per query.
-MAX_CANDIDATES = 100
-
 # A hint must sit strictly after this offset inside the window to be used as a cut.
 MIN_SPLIT_OFFSET = 200
 
@@ -91,6 +88,8 @@ class Settings:
     query_min_score: float = 0.10
     query_fallback_min_score: float = 0.03
     query_candidate_multiplier: int = 2
+    # Most candidates fetched per query; a limit above it returns at most this many results.
+    max_candidates: int = 100
     embedding_dimensions: int = 512
     embedding_normalize: bool = True
     distance_metric: str = "cosine"

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import col_
+from quarry.session import materialise
 
 TOKEN_PATTERN = "[a-z0-9]+"
 
@@ -59,21 +60,13 @@ def hashed_embedding(text, dim: int = 512, normalize: bool = True,
     return _count_vectors(dim, normalize, precision)(bucket_ids(text, dim))
 
 
-def sparse_weights(text, dim: int = 512) -> Column:
-    """Pure-SQL form of the hashed embedding: ARRAY<STRUCT<bucket, weight>> of non-zero buckets."""
-    ids = bucket_ids(text, dim)
-    distinct = F.array_sort(F.array_distinct(ids))
-    counts = F.transform(distinct, lambda b: F.struct(
-        b.alias("bucket"), F.size(F.filter(ids, lambda x: x == b)).cast("double").alias("n")))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]))
-    return F.transform(counts, lambda c: F.struct(c["bucket"].alias("bucket"),
-                                                  (c["n"] / norm).alias("weight")))
-
-
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, on) -> tuple[DataFrame, DataFrame]:
     """(chunks with ``embedding``, chunks that have no vector)."""
     on = [on] if isinstance(on, str) else list(on)
-    return chunks.join(vectors, on, "inner"), chunks.join(vectors, on, "left_anti")
+    # one join for both results, written once: each side is read and shuffled once
+    paired = materialise(chunks.join(vectors.withColumn("_found", F.lit(True)), on, "left"), "paired")
+    missing = paired.where("_found is null").select(*chunks.columns)
+    return paired.where("_found").drop("_found"), missing
 
 
 def model_embedding(df: DataFrame, text_col: str, model_factory: Callable[[], Callable],

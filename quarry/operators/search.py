@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.config import DEFAULT_SETTINGS, MAX_CANDIDATES, Settings
+from quarry.config import DEFAULT_SETTINGS, Settings
 from quarry.functions import text as tx
 from quarry.session import materialise
 from quarry.operators.knn import knn_exact_counted, knn_lsh
@@ -33,9 +33,10 @@ def semantic_score(distance, metric: str = "cosine") -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.greatest(d, F.lit(0.0)))
 
 
-def candidate_budget(limit, multiplier: int) -> Column:
+def candidate_budget(limit, multiplier: int, most: int = DEFAULT_SETTINGS.max_candidates) -> Column:
+    """Candidates to fetch for a limit: ``multiplier`` times as many, at most ``most``."""
     lim = tx.col_(limit)
-    return F.least(F.greatest(lim * F.lit(multiplier), lim), F.lit(MAX_CANDIDATES))
+    return F.least(F.greatest(lim * F.lit(multiplier), lim), F.lit(most))
 
 
 def prepare_queries(queries: DataFrame, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
@@ -49,7 +50,8 @@ def prepare_queries(queries: DataFrame, settings: Settings = DEFAULT_SETTINGS) -
     out = queries.withColumns({
         "eff_limit": eff_limit,
         "eff_min_score": F.coalesce(min_score.cast("double"), F.lit(settings.query_min_score)),
-    }).withColumn("k", candidate_budget("eff_limit", settings.query_candidate_multiplier))
+    }).withColumn("k", candidate_budget("eff_limit", settings.query_candidate_multiplier,
+                                      settings.max_candidates))
     return with_query_terms(out, "query")
 
 
@@ -102,7 +104,7 @@ def attach_metadata(index: DataFrame, hits: DataFrame, n_queries: int,
     meta = index.select(*INDEX_KEY, "language", "content", "path_tokens", "symbol_name",
                         "symbol_type", "start_line", "end_line")
     keys = hits.select("query_id", *INDEX_KEY, "distance")
-    bound = n_queries * MAX_CANDIDATES * CANDIDATE_ROW_BYTES
+    bound = n_queries * settings.max_candidates * CANDIDATE_ROW_BYTES
     blocks = max(1, math.ceil(bound / settings.knn_broadcast_max_bytes))
     if blocks == 1:
         return meta.join(F.broadcast(keys), INDEX_KEY)

@@ -16,6 +16,7 @@ from .html_text import extract_text
 from .jaccard_join import jaccard_classes
 from .language_mix import language_id
 from .line_dedup import dedup_lines
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack
 from .permutation_index import nearest
 from .quality import score_quality
@@ -88,5 +89,3 @@ QUERIES = {
     "op9_dp_packing": q_op9,
     "op10_chat_grammar_round_trip": q_op10,
 }
-
-ORACLES: dict[str, str] = {}

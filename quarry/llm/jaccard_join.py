@@ -311,11 +311,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     gone = verdict.where("doc_id <> class_id or (doc_id is null and class_id is not null)") \
         .select(F.col("doc_id").alias("_gone")).distinct()
     # the ids have no size bound: a shuffle join at every size
-    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
     twice = (verdict.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_twice"))
              .agg(F.count("*").alias("_rows")).where("_rows > 1").select("_twice"))
     if twice.isEmpty():
         return kept
-    on = kept["doc_id"].cast("long") == F.col("_twice")
+    on = kept["doc_id"].cast("long") == twice["_twice"]
     single = kept.join(twice, on, "left_semi").dropDuplicates(["doc_id"])
     return kept.join(twice, on, "left_anti").unionByName(single)

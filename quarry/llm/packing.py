@@ -335,7 +335,8 @@ class Packer:
 def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFrame:
     """One row per piece of a document in a sequence (see the module docstring).
 
-    ``path`` names the tokenizer file (default: the public byte-level BPE of 50k ids).
+    ``path`` names the tokenizer file: a byte-level BPE of fewer than 65,536 ids with the usual
+    pre-token pattern (default: the public one of 50k ids).
     """
     ready(docs.sparkSession)
     path = path or tokenizer_path()

@@ -75,11 +75,31 @@ def drop_projects(spark: SparkSession, path: str, projects: DataFrame) -> DataFr
     return gone
 
 
+def with_defaults(entries: DataFrame) -> DataFrame:
+    """Complete stored entries: texts default to empty, numbers to 0, the language to ``text``, and empty
+    symbols are NULL. Columns that a table lacks stay absent; filters on ``project`` still prune."""
+    rules = {
+        "file_path": lambda c: F.coalesce(c, F.lit("")),
+        "content": lambda c: F.coalesce(c, F.lit("")),
+        "path_tokens": lambda c: F.coalesce(c, F.lit("")),
+        "language": lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("text")),
+        "symbol_name": lambda c: F.nullif(c, F.lit("")),
+        "symbol_type": lambda c: F.nullif(c, F.lit("")),
+        "chunk_index": lambda c: F.coalesce(c, F.lit(0)),
+        "start_line": lambda c: F.coalesce(c, F.lit(0)),
+        "end_line": lambda c: F.coalesce(c, F.lit(0)),
+    }
+    return entries.withColumns({n: rule(F.col(n)) for n, rule in rules.items() if n in entries.columns})
+
+
 def read_index(spark: SparkSession, path: str, projects: list[str] | None = None) -> DataFrame:
-    """The index table; partition names are never read as numbers or dates."""
+    """The index table; partition names are never read as numbers or dates.
+
+    Entries are completed by ``with_defaults``.
+    """
     found = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
     schema = T.StructType([f for f in found if f.name != "project"] + [T.StructField("project", T.StringType())])
-    df = spark.read.schema(schema).parquet(path)
+    df = with_defaults(spark.read.schema(schema).parquet(path))
     if projects is not None:
         df = df.where(F.col("project").isin(projects))
     return df

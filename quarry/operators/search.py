@@ -206,17 +206,22 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     return results.select(*RESULT_COLUMNS), summary
 
 
-def compact_results(results: DataFrame, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:
+def compact_results(results: DataFrame, settings: Settings = DEFAULT_SETTINGS,
+                    queries: DataFrame | None = None) -> DataFrame:
     """Presentation form: scores rounded to 4 places, snippet instead of content, empty optional
-    fields as NULL."""
+    fields as NULL; with ``queries(query_id, query)`` also the text that was asked."""
     def opt_str(c: str) -> Column:
         return F.nullif(F.col(c), F.lit(""))
 
     def opt_int(c: str) -> Column:
         return F.when(F.col(c) != 0, F.col(c))
 
+    asked = []
+    if queries is not None:
+        results = results.join(queries.select("query_id", "query"), "query_id")
+        asked = ["query"]
     return results.select(
-        "query_id", "rank", "file_path",
+        "query_id", *asked, "project", "rank", "file_path",
         F.round("score", 4).alias("score"),
         tx.snippet("content", settings.snippet_chars).alias("snippet"),
         opt_str("symbol_name").alias("symbol_name"),

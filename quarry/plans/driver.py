@@ -155,8 +155,9 @@ def q_search_summary(spark, sf_dir):
 
 
 def q_compact_results(spark, sf_dir):
-    results, _ = srch.search(doc_index(spark, sf_dir), bench_queries(spark, sf_dir))
-    return normalise_output(srch.compact_results(results))
+    queries = bench_queries(spark, sf_dir)
+    results, _ = srch.search(doc_index(spark, sf_dir), queries)
+    return normalise_output(srch.compact_results(results, queries=queries))
 
 
 def q_lexical_bonus(spark, sf_dir):
@@ -333,7 +334,7 @@ def q_snippet(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return normalise_output(docs.select(
         "doc_id", tx.snippet("text", DEFAULT_SETTINGS.snippet_chars).alias("snippet"),
-        F.length(tx.preview("text", DEFAULT_SETTINGS.preview_chars)).alias("preview_chars")))
+        tx.preview("text", DEFAULT_SETTINGS.preview_chars).alias("preview")))
 
 
 def q_query_dedupe(spark, sf_dir):

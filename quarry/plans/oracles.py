@@ -25,7 +25,7 @@ FROM qry q LEFT JOIN per_query p ON p.query_id = q.query_id"""
 ORACLES["compact_results"] = S.search_ctes() + f""",
 compact AS (
   SELECT *, trim(regexp_replace(content, '{S.WS_RE}+', ' ', 'g')) AS cc FROM results)
-SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, file_path,
+SELECT CAST(query_id AS BIGINT) AS query_id, query, project, CAST(rank AS BIGINT) AS rank, file_path,
        round(round(score, 4), 6) AS score,
        CASE WHEN length(cc) <= 400 THEN cc ELSE rtrim(substr(cc, 1, 397)) || '...' END AS snippet,
        nullif(symbol_name, '') AS symbol_name, nullif(symbol_type, '') AS symbol_type,
@@ -153,7 +153,7 @@ WITH c AS (SELECT doc_id, text,
 SELECT CAST(doc_id AS BIGINT) AS doc_id,
        CASE WHEN length(cc) <= 400 THEN cc ELSE rtrim(substr(cc, 1, 397), ' ') || '...' END
          AS snippet,
-       CAST(length(left(text, 2000)) AS BIGINT) AS preview_chars
+       left(text, 2000) AS preview
 FROM c"""
 
 ORACLES["query_dedupe"] = f"""

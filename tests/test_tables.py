@@ -283,3 +283,12 @@ def test_file_adapters_on_a_real_tree(spark, tmp_path):
         assert ("foo", "foo.py") in got and ("foo", "foo") in got and "" not in {p for p, _ in got}
     (tmp_path / "foo" / "bad.py").mkdir()
     assert all(len(r) == 4 for r in _TreeReader(str(tmp_path), 1).read(_Part("foo", 0)))
+
+
+def test_index_entries_are_completed(spark):
+    from quarry.operators.index import with_defaults
+
+    df = spark.createDataFrame([(None, None, "", "", None, None, "kept")],
+                               "file_path string, chunk_index int, language string, symbol_name string, "
+                               "start_line int, content string, more string")
+    assert tuple(with_defaults(df).first()) == ("", 0, "text", None, 0, "", "kept")

@@ -21,7 +21,11 @@ class Logistic:
         w = np.ones(len(y), np.float32) if weight is None else np.asarray(weight, np.float32)
         w = w / w.sum()
         mean = (w @ x).astype(np.float32)
-        spread = np.sqrt(np.maximum(w @ (x * x) - mean * mean, 0))
+        square = np.zeros(x.shape[1], np.float32)
+        for lo in range(0, len(x), 512):  # no second matrix of the size of x
+            part = x[lo:lo + 512]
+            square += w[lo:lo + 512] @ (part * part)
+        spread = np.sqrt(np.maximum(square - mean * mean, 0))
         scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0).astype(np.float32)
         # the step size follows the largest curvature (power iteration on the weighted Gram matrix)
         v = np.ones(x.shape[1], np.float32) / np.sqrt(x.shape[1])

@@ -228,9 +228,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     ids = out["_id"].to_numpy()[order]
     order = order[np.append(True, ids[1:] != ids[:-1])] if len(ids) else order
     label = out["label"].to_numpy()[order]
-    x = np.frombuffer(b"".join(out["x"].take(order).to_pylist()), np.float16).reshape(-1, BINS + LAGS)
-    m = np.frombuffer(b"".join(out["m"].take(order).to_pylist()), np.float32).reshape(-1, META)
-    return co_train(x.astype(np.float32), m, label, rounds)
+    # filled row by row: the driver holds one copy of the features
+    x = np.empty((len(order), BINS + LAGS), np.float32)
+    m = np.empty((len(order), META), np.float32)
+    xs, ms = out["x"].combine_chunks(), out["m"].combine_chunks()
+    for k, r in enumerate(order.tolist()):
+        x[k] = np.frombuffer(xs[r].as_buffer(), np.float16)
+        m[k] = np.frombuffer(ms[r].as_buffer(), np.float32)
+    del out, xs, ms
+    return co_train(x, m, label, rounds)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, model: CoTrained | None = None,

@@ -5,8 +5,10 @@ root-to-leaf tag path (tags with their first class). Per path the text length, t
 linked characters are summed over its nodes; the path ratio is text per node x punctuation per node x
 unlinked share. The ratios are laid over the nodes in page order, smoothed with a Gaussian, fused with
 the raw ratio, and thresholded by their standard deviation: nodes above are content nodes. The main
-region is the deepest container that holds most of the content nodes' text; its blocks, without
-boilerplate subtrees (navigation, forms, adverts, comments, ...) and link lists, are the main text.
+region is the deepest container that holds most of the content nodes' text, up to an article or main
+element; outside these the parts beside it that hold content nodes belong to it too. Its blocks, without
+boilerplate subtrees (navigation, forms, adverts, comments, ...) and link lists outside an article, are
+the main text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by a blank line. Nothing else is dropped or capped. Each page is handled by itself, so neither
@@ -220,45 +222,72 @@ def main_text(html: str | None) -> str:
             blocky[parent[e]] = True
         elif blocky[e]:
             blocky[parent[e]] = True
-    region = 0
+    region, above = 0, [False] * n
     while tag[region] not in ("article", "main"):
         best = max(children[region], key=lambda e: (weight[e], -e), default=None)
         if best is None or weight[best] < 0.7 * weight[region] or tag[best] in _LEAVES or not blocky[best]:
             break
+        above[region] = True
         region = best
     within = [False] * n
+    whole = tag[region] in ("article", "main")
     for e in range(n):
         within[e] = e == region or (e > 0 and within[parent[e]])
+        # a part beside the region's way down that holds content nodes
+        within[e] |= not whole and e > 0 and above[parent[e]] and not above[e] and weight[e] > 0
+    loose = set() if whole else {(e, block) for (e, _, block), c in zip(nodes, content) if c and above[e]}
+    anchor = [0] * n
+    for e in range(1, n):
+        anchor[e] = e if tag[e] == "a" else anchor[parent[e]]
     # blocks of the region, in page order
     out: list[str] = []
     parts: list[str] = []
     chars = links = 0
     last = None
+    held: list[str] = []  # link blocks in a row outside an article
+    anchors: set[int] = set()
+
+    def release() -> None:
+        # several links only, in one block or in blocks in a row, are a link list; a single one is not
+        if listed < 2:
+            out.extend(held)
+        held.clear()
 
     def close() -> None:
+        nonlocal listed
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
-        # a block of several links only is a link list, a single linked heading or phrase is not
-        if text and not (links > 0.9 * chars and chars and not heading):
+        if not text:
+            return
+        if links > 0.9 * chars and chars and not heading and not article:
+            held.append(text)
+            listed += len(anchors)
+        else:
+            release()
+            listed = 0
             out.append(text)
 
-    heading = False
+    heading = article = False
+    listed = 0
     for e, text, block in page.texts:
-        if dropped[e] or not within[e]:
+        if dropped[e] or not within[e] and (e, block) not in loose:
             continue
         if block != last:
             if parts:
                 close()
-            parts, chars, links, last, heading = [], 0, 0, block, False
+            parts, chars, links, last, heading, article, anchors = [], 0, 0, block, False, inside[e], set()
         parts.append(text)
         size = len(text.strip())
         chars += size
         links += size if linked[e] else 0
+        if size and linked[e]:
+            anchors.add(anchor[e])
         up = e
         while up > 0 and tag[up] not in BLOCKS:
             up = parent[up]
         heading |= tag[up] in _HEADINGS
     if parts:
         close()
+    release()
     return "\n\n".join(out)
 
 

@@ -26,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +46,7 @@ _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**62, COORDS, dtype=np.uint64)
 _SETS = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("n", T.LongType()),
     T.StructField("node", T.LongType()), T.StructField("check", T.LongType()),
     T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.ArrayType(T.LongType())),
 ])
@@ -94,7 +94,7 @@ def text_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
 
 def _sets(docs: DataFrame, width: int, similarity: float, runs: int) -> DataFrame:
     """One row per document row: size, 128-bit identity, sketch and first-level paths of its set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()),
                         ("check", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
     roots = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     first, second = chosen(roots, similarity)
@@ -127,11 +127,12 @@ def _sets(docs: DataFrame, width: int, similarity: float, runs: int) -> DataFram
                         sketch[d] = small[k].tobytes()
                         paths[d] = keys[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(node),
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(node),
                      pa.array(check), pa.array(sketch, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
                     schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"),
+                       F.xxhash64("text").alias("mark")).mapInArrow(run, _SETS)
 
 
 def _binary_matrix(col, width: int) -> np.ndarray:
@@ -271,11 +272,21 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     ``class_id`` is the smallest ``doc_id`` of the connected group of links (Jaccard >= similarity),
     ``n_links`` the number of other document rows linked to this one, copies included.
     """
+    return _verdicts(docs, width, similarity, recall, limit, depth, set_limit).select(
+        "doc_id", "n_shingles", "class_id", "n_links")
+
+
+def _verdicts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, recall: float = RECALL,
+              limit: int = LIMIT, depth: int = DEPTH, set_limit: int = SET_LIMIT) -> DataFrame:
+    """``jaccard_classes`` with the row's key (``doc_id`` and ``mark``, a digest of its text) and ``kept``.
+
+    ``kept`` is the least (no id, ``doc_id``, ``mark``) of the class, NULL without shingles.
+    """
     ready(docs.sparkSession)
     sets = materialise(_sets(docs, width, similarity, runs_for(similarity, recall, depth)), "sets")
     identity = ["node", "check", "n"]
     classes = materialise(sets.where("n > 0").groupBy(*identity).agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"),
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(_rank()).alias("least"),
         F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes")
     candidates = components(candidate_edges(classes, similarity, limit, depth))
     met = materialise(candidates.join(classes.select("node", "rep", "copies"), "node")
@@ -288,34 +299,45 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     found = bucket_map(whole, "group", _set_judge(similarity), _FOUND, set_limit, "class")
     links = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
-    named = (joined.join(classes.select("node", "rep"), "node")
-             .groupBy("component").agg(F.min("rep").alias("class_id")))
-    info = (classes.select(*identity, "rep", "copies").join(joined, "node", "left")
+    named = (joined.join(classes.select("node", "rep", "least"), "node")
+             .groupBy("component").agg(F.min("rep").alias("class_id"), F.min("least").alias("kept")))
+    info = (classes.select(*identity, "rep", "copies", "least").join(joined, "node", "left")
             .join(named, "component", "left").join(links, "node", "left")
             .select(*identity, F.coalesce("class_id", "rep").alias("class_id"),
+                    F.coalesce("kept", "least").alias("kept"),
                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    rows = sets.select("doc_id", *identity)
+    rows = sets.select("doc_id", "mark", *identity)
     return rows.join(info, identity, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "mark", "kept", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _rank() -> Column:
+    """Order of the rows of a class: by ``doc_id`` (NULL last), then by the digest of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class stays: the row of the smallest ``doc_id`` (all its columns).
 
-    Documents without shingles always stay. Where the kept id has several rows, one of the rows
-    stays (equal rows are interchangeable; else the smallest text).
+    Documents without shingles always stay. Rows are told apart by ``doc_id`` and text, so rows that
+    share an id (or have none) stay or go each with its own class. Where several rows of a class have
+    the smallest id, one stays (equal rows are interchangeable; else the smallest text digest); a class
+    without any id keeps one row too.
     """
-    verdict = materialise(jaccard_classes(docs, **options).where("n_shingles > 0"), "verdict")
-    gone = verdict.where("doc_id <> class_id or (doc_id is null and class_id is not null)") \
-        .select(F.col("doc_id").alias("_gone")).distinct()
+    verdict = materialise(_verdicts(docs, **options).where("n_shingles > 0")
+                          .select("doc_id", "mark", (_rank() == F.col("kept")).alias("stays")), "verdict")
+    row = [F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")]
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["doc_id"].cast("long").eqNullSafe(right["_id"]) & (F.xxhash64(left["text"]) == right["_mark"])
+
+    gone = verdict.where("not stays").select(*row).distinct()
     # the ids have no size bound: a shuffle join at every size
-    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
-    twice = (verdict.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_twice"))
-             .agg(F.count("*").alias("_rows")).where("_rows > 1").select("_twice"))
+    kept = docs.join(gone.hint("merge"), same(docs, gone), "left_anti")
+    twice = verdict.where("stays").groupBy(*row).agg(F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
     if twice.isEmpty():
         return kept
-    on = kept["doc_id"].cast("long") == twice["_twice"]
-    single = kept.join(twice, on, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, on, "left_anti").unionByName(single)
+    single = kept.join(twice, same(kept, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same(kept, twice), "left_anti").unionByName(single)

@@ -1,4 +1,5 @@
-r"""DuckDB SQL for the queries that SQL can express (decontamination, Jaccard join, chat formatting).
+r"""DuckDB SQL for the queries that SQL can express (decontamination, Jaccard join, chat formatting,
+ranked search, licence scan).
 
 The others are trained, approximate or sequential; ``tests/llm`` holds them against brute force, exact
 round trips or held-out labels.
@@ -6,6 +7,8 @@ round trips or held-out labels.
 
 from __future__ import annotations
 
+from .license_scan import ANCHORS, BASE, NOTICES, RARE, SHARE, SLACK
+
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
@@ -61,3 +64,71 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(sum(24 + length(role) + length(text)
                 + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+
+ORACLES["op11_bloom_ranked_search"] = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+d AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM t WHERE len(w) > 0),
+size AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM d) x GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, tf.r, any_value(d.doc_id) AS doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+         * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN d USING (r), size GROUP BY item_id, tf.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+def _license_tables() -> str:
+    templates = [*BASE, *NOTICES]
+    rows = ", ".join(f"({k}, '{t.label}', {t.base}, '{t.text}', {0 if t.base else SLACK}, {1 if t.base else ANCHORS})"
+                     for k, t in enumerate(templates))
+    keys = ", ".join(f"({k}, '{key}')" for k, t in enumerate(templates) for key in ((t.text,) if t.base else t.keys))
+    return (f"tpl(tid, label, base, txt, play, anchors) AS (VALUES {rows}),\n"
+            f"phrases(tid, phrase) AS (VALUES {keys})")
+
+
+ORACLES["op12_rare_token_license_scan"] = f"""
+WITH {_license_tables()},
+keys AS (SELECT tid, string_split(phrase, ' ') AS p, play,
+                len(string_split(rtrim(split_part(' ' || txt || ' ', ' ' || phrase || ' ', 1)), ' ')) - 1 AS q
+         FROM phrases JOIN tpl USING (tid)),
+tw AS (SELECT tid, word, min(pos) AS q FROM (
+         SELECT tid, unnest(string_split(txt, ' ')) AS word, unnest(range(len(string_split(txt, ' ')))) AS pos FROM tpl) x
+       GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+occ AS (SELECT r, word, pos FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) x
+        WHERE word IN (SELECT word FROM tw)),
+df AS (SELECT word, count(DISTINCT r) AS df FROM occ GROUP BY word),
+weighed AS (
+  SELECT tid, word, q, base, play, anchors, coalesce(df, 0) AS df,
+         1 + CAST(floor(1000 * ln((n + 1) / (coalesce(df, 0) + 1))) AS BIGINT) AS weight,
+         row_number() OVER (PARTITION BY tid ORDER BY coalesce(df, 0), word) AS k
+  FROM tw JOIN tpl USING (tid) LEFT JOIN df USING (word), (SELECT count(*) AS n FROM documents) size),
+post AS (SELECT * FROM weighed WHERE base OR k <= {RARE}),
+total AS (SELECT tid, sum(weight) AS total FROM post GROUP BY tid),
+own AS (SELECT r, post.*, row_number() OVER (PARTITION BY r, tid ORDER BY df, word) AS a
+        FROM post JOIN (SELECT DISTINCT r, word FROM occ) x USING (word)),
+starts AS (SELECT DISTINCT r, tid, pos - q AS s FROM own JOIN occ USING (r, word) WHERE a <= anchors),
+found AS (
+  SELECT r, tid, s, sum(weight) AS f FROM (
+    SELECT DISTINCT starts.r, starts.tid, s, post.word, weight FROM starts JOIN post USING (tid)
+    JOIN occ ON occ.r = starts.r AND occ.word = post.word AND pos BETWEEN s + q - play AND s + q + play) x GROUP BY ALL),
+kept AS (SELECT r, tid, s, f / total AS share FROM found JOIN total USING (tid) WHERE f * 10 >= total * {SHARE}),
+lacking AS (
+  SELECT r, tid, s FROM kept JOIN keys USING (tid) JOIN d USING (r)
+  WHERE len(list_filter(range(-play, play + 1), lambda x: s + q + x >= 0 AND w[s + q + x + 1:s + q + x + len(p)] = p)) = 0),
+hit AS (SELECT kept.*, label, base FROM kept ANTI JOIN lacking USING (r, tid, s) JOIN tpl USING (tid)),
+per AS (
+  SELECT r, count(*) FILTER (WHERE base) AS n, min(s) FILTER (WHERE base) AS a, max(s) FILTER (WHERE base) AS b,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         greatest(coalesce(max(share) FILTER (WHERE NOT base), 0), CASE WHEN bool_or(base) THEN 0.5 ELSE 0 END) AS score
+  FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word,
+       CAST(b AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(CAST(coalesce(score, 0) AS DOUBLE), 6) AS score
+FROM d LEFT JOIN per USING (r)"""

@@ -15,11 +15,14 @@ from .decontaminate import contamination
 from .html_text import extract_text
 from .jaccard_join import jaccard_classes
 from .language_mix import language_id
+from .license_scan import scan
 from .line_dedup import dedup_lines
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack
 from .permutation_index import nearest
 from .quality import score_quality
+from .ranked_search import ranked_search
+from .spelling import drop_letter, spelling_variants
 from .toxicity import toxicity
 
 
@@ -77,6 +80,21 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(probe(spark))))
 
 
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item (bit-sliced Bloom signatures)."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document (positional rare-token index)."""
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "matches")
+
+
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents (trie-node pairs)."""
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_letter)
+
+
 QUERIES = {
     "op1_permutation_index_ann": q_op1,
     "op2_tag_path_ratio_extraction": q_op2,
@@ -88,4 +106,7 @@ QUERIES = {
     "op8_mixture_language_id": q_op8,
     "op9_dp_packing": q_op9,
     "op10_chat_grammar_round_trip": q_op10,
+    "op11_bloom_ranked_search": q_op11,
+    "op12_rare_token_license_scan": q_op12,
+    "op13_trie_pair_spelling_variants": q_op13,
 }

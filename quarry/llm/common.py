@@ -8,6 +8,7 @@ non-ASCII character, so the rule is evaluated on raw bytes without building Pyth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """Shuffle files of a query go when it ends (its result is a written table), not at a later collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ready(spark: SparkSession) -> None:
     """Make the package importable on the executors."""
     ship_package(spark)

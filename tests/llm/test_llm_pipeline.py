@@ -16,16 +16,15 @@ def stages(spark):
     """Documents after every stage, each from the stage before by a plain rule."""
     from quarry.llm.line_dedup import drop_lines
     from quarry.llm.quality import score_quality
-    from test_llm_lines import simhash
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scores = score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
     good = {r.doc_id for r in scores if r.accepted}
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
     out = [dict(rows)]
-    gone = brute.lines_gone(list(rows.items()), simhash)
-    rows = {d: drop_lines(t, gone.get(d)) for d, t in rows.items()}
-    rows = {d: t for d, t in rows.items() if not gone.get(d) or t.strip(" ")}
+    gone = brute.lines_gone(list(rows.items()))
+    kept = {d: drop_lines(t, gone.get((d, t))) for d, t in rows.items()}
+    rows = {d: t for d, t in kept.items() if not gone.get((d, rows[d])) or t.strip(" ")}
     out.append(dict(rows))
     classes = {d: c for d, c, _ in brute.jaccard(list(rows.items()))}
     rows = {d: t for d, t in rows.items() if classes[d] == d or not brute.words(t)}

@@ -104,6 +104,8 @@ class Settings:
     retrieval: str = "exact"
     lsh_bands: int = 8
     lsh_bits: int = 8
+    # Neighbouring buckets a query also probes in each band (behind its least certain bits).
+    lsh_flips: int = 0
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

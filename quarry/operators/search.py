@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULT_SETTINGS, Settings
 from quarry.functions import text as tx
 from quarry.session import materialise
-from quarry.operators.knn import knn_exact_counted, knn_lsh
+from quarry.operators.knn import knn_exact_counted
 from quarry.operators.lexical import with_lexical_bonus, with_query_terms
 
 INDEX_KEY = ["project", "file_path", "chunk_index"]
@@ -55,32 +55,29 @@ def prepare_queries(queries: DataFrame, settings: Settings = DEFAULT_SETTINGS) -
     return with_query_terms(out, "query")
 
 
-def retrieve_counted(index: DataFrame, queries: DataFrame,
-                     settings: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame, int]:
+def retrieve_counted(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SETTINGS,
+                     signatures=None) -> tuple[DataFrame, int]:
     """Top-k candidates per query (k from the ``k`` column) inside the query's project, and the
     number of queries."""
     if settings.retrieval == "lsh":
-        return _retrieve_lsh(index, queries, settings)
+        return _retrieve_lsh(index, queries, settings, signatures)
     return knn_exact_counted(index, queries, "k", id_cols=["file_path", "chunk_index"],
                              group_col="project", metric=settings.distance_metric,
                              settings=settings)
 
 
-def _retrieve_lsh(index: DataFrame, queries: DataFrame,
-                  settings: Settings) -> tuple[DataFrame, int]:
-    """Approximate candidates: no query broadcast; queries meet index rows on (bucket, project)."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("kmax")).first()
-    n, kmax = int(stats["n"]), int(stats["kmax"] or 0)
-    if n == 0:
-        return knn_exact_counted(index, queries, "k", id_cols=["file_path", "chunk_index"],
-                                 group_col="project", metric=settings.distance_metric,
-                                 settings=settings)
-    hits = knn_lsh(index, queries, kmax, id_cols=["file_path", "chunk_index"], group_col="project",
-                   metric=settings.distance_metric, bands=settings.lsh_bands,
-                   bits=settings.lsh_bits)
-    per_query_k = queries.select("query_id", F.col("k").alias("_k"))
-    hits = hits.join(per_query_k, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
-    return hits, n
+def _retrieve_lsh(index: DataFrame, queries: DataFrame, settings: Settings,
+                  signatures=None) -> tuple[DataFrame, int]:
+    """Approximate candidates by stored signatures; without any, the index is signed for this search."""
+    from quarry.operators import lsh_index as li
+
+    ids = ["file_path", "chunk_index"]
+    if signatures is None:
+        params = li.LshParams(li.vector_dimension(index), settings.lsh_bands, settings.lsh_bits)
+        rows = li.signature_rows(index, params, id_cols=ids, group_col="project")
+        signatures = li.Signatures(materialise(rows, "signatures"), params)
+    return li.knn_stored(index, signatures, queries, "k", id_cols=ids, group_col="project",
+                         metric=settings.distance_metric, flips=settings.lsh_flips, settings=settings)
 
 
 CANDIDATE_ROW_BYTES = 256  # key columns of one candidate row, generous
@@ -136,7 +133,7 @@ def rank_candidates(cands: DataFrame, settings: Settings = DEFAULT_SETTINGS) ->
 
 
 def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SETTINGS,
-           registry: DataFrame | None = None, embed=None) -> tuple[DataFrame, DataFrame]:
+           registry: DataFrame | None = None, embed=None, signatures=None) -> tuple[DataFrame, DataFrame]:
     """Answer every row of ``queries``.
 
     ``index``: ``project, file_path, chunk_index, language, content, path_tokens, symbol_name,
@@ -148,6 +145,9 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     ``embed`` (a function from a text Column to a vector Column) embeds queries that come without
     an ``embedding`` column; equal texts (up to white space) are embedded once.
 
+    ``signatures`` (see ``lsh_index``): the stored table that ``Settings(retrieval="lsh")`` looks
+    candidates up in; without it the index is signed for this one search.
+
     The search runs once, when this function is called; both returned tables read its written result.
     Repeated query ids are an error.
 
@@ -176,7 +176,7 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = DEFAULT_SE
     else:
         prepared = prepared.withColumn("registered", F.lit(True))
     active = prepared.where("registered")
-    hits, n_queries = retrieve_counted(index, active, settings)
+    hits, n_queries = retrieve_counted(index, active, settings, signatures)
     qinfo = active.select("query_id", "project", "eff_limit", "eff_min_score", "terms",
                           "folded_query")
     cands = attach_metadata(index, hits.join(qinfo.select("query_id", "project"), "query_id"),

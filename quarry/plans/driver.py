@@ -27,7 +27,8 @@ from quarry.operators import registry as rg
 from quarry.operators import search as srch
 from quarry.operators import structure as st
 from quarry.operators import symbols as sy
-from quarry.operators.knn import knn_exact, knn_lsh
+from quarry.operators import lsh_index as li
+from quarry.operators.knn import knn_exact
 from quarry.operators.lexical import query_terms_from_tokens, query_tokens, synonym_terms
 from quarry.plans import fixtures as FX
 from quarry.session import scratch_path, ship_package, spread
@@ -118,6 +119,7 @@ def varied_limit() -> F.Column:
 
 # Recall at 10 of these settings on the given (hardly clustered) vectors: at least 0.9, see the tests.
 LSH_BANDS, LSH_BITS = 16, 4
+PROBE_BANDS, PROBE_FLIPS = 8, 2
 VARIED_LIMIT_SQL = "(3 + b.item_id % 4)"
 
 
@@ -137,8 +139,12 @@ def q_search_code(spark, sf_dir):
 
 def q_search_lsh(spark, sf_dir):
     """The flagship with approximate (LSH) retrieval inside each project."""
-    settings = DEFAULT_SETTINGS.with_(retrieval="lsh", lsh_bands=LSH_BANDS, lsh_bits=LSH_BITS)
-    results, _ = srch.search(doc_index(spark, sf_dir), bench_queries(spark, sf_dir), settings)
+    settings = DEFAULT_SETTINGS.with_(retrieval="lsh")
+    index = doc_index(spark, sf_dir)
+    stored = li.write_signatures(index, scratch_path(spark, "signatures"),
+                                 li.LshParams(li.vector_dimension(index), LSH_BANDS, LSH_BITS),
+                                 id_cols=["file_path", "chunk_index"], group_col="project")
+    results, _ = srch.search(index, bench_queries(spark, sf_dir), settings, signatures=stored)
     return _result_view(results)
 
 
@@ -182,9 +188,20 @@ def q_knn_topk(spark, sf_dir):
 
 
 def q_knn_lsh(spark, sf_dir):
+    return _stored_knn(spark, sf_dir, li.LshParams(64, LSH_BANDS, LSH_BITS), 0)
+
+
+def q_knn_lsh_probe(spark, sf_dir):
+    """Half the bands of ``knn_lsh``, and two more buckets probed in each."""
+    return _stored_knn(spark, sf_dir, li.LshParams(64, PROBE_BANDS, LSH_BITS), PROBE_FLIPS)
+
+
+def _stored_knn(spark, sf_dir, params, flips):
+    """Signatures written once per label as the project, read back, searched across all projects."""
     emb = table(spark, sf_dir, "embeddings")
-    res = knn_lsh(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_cols=["vec_id"],
-                  bands=LSH_BANDS, bits=LSH_BITS)
+    stored = li.write_signatures(emb.withColumn("label", F.col("label").cast("string")), scratch_path(spark, "signatures"),
+                                 params, id_cols=["vec_id"], group_col="label")
+    res, _ = li.knn_stored(emb, stored, emb.withColumnRenamed("vec_id", "query_id"), 10, id_cols=["vec_id"], flips=flips)
     return normalise_output(res.select("query_id", "vec_id", "rank", "distance"))
 
 
@@ -675,6 +692,7 @@ QUERIES = {
     "lexical_bonus": q_lexical_bonus,
     "knn_topk": q_knn_topk,
     "knn_lsh": q_knn_lsh,
+    "knn_lsh_probe": q_knn_lsh_probe,
     "semantic_score": q_semantic_score,
     "query_terms": q_query_terms,
     "synonym_expand": q_synonym_expand,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarry.plans import sqlparts as S
-from quarry.plans.driver import FALLBACK_MIN_SQL, LSH_BANDS, LSH_BITS, VARIED_LIMIT_SQL
+from quarry.plans.driver import FALLBACK_MIN_SQL, LSH_BANDS, LSH_BITS, PROBE_BANDS, PROBE_FLIPS, VARIED_LIMIT_SQL
 
 ORACLES: dict[str, str] = {}
 
@@ -465,9 +465,8 @@ SELECT r.name, 'removed', n IS NOT NULL, coalesce(n, 0)
 FROM (VALUES ('007'), ('a:b'), ('50%'), ('absent')) r(name) LEFT JOIN odd USING (name)"""
 
 
-ORACLES["knn_lsh"] = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)," \
-    + S.lsh_buckets("sig", "e", "vec_id", LSH_BANDS, LSH_BITS) + """,
-met AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id FROM sig a JOIN sig b USING (band, bucket)),
+_LSH_RESULT = """,
+met AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id FROM probe a JOIN sig b USING (band, bucket)),
 r AS (SELECT query_id, vec_id, distance,
              row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
       FROM (SELECT m.query_id, m.vec_id, 1 - list_cosine_similarity(a.v, b.v) AS distance
@@ -475,6 +474,13 @@ r AS (SELECT query_id, vec_id, distance,
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(vec_id AS BIGINT) AS vec_id,
        CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance
 FROM r WHERE rank <= 10"""
+_VECTORS = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),"
+
+ORACLES["knn_lsh"] = _VECTORS + S.lsh_buckets("sig", "e", "vec_id", LSH_BANDS, LSH_BITS) \
+    + ", probe AS (SELECT * FROM sig)" + _LSH_RESULT
+
+ORACLES["knn_lsh_probe"] = _VECTORS + S.lsh_buckets("sig", "e", "vec_id", PROBE_BANDS, LSH_BITS) + "," \
+    + S.lsh_probes("probe", "e", "vec_id", PROBE_BANDS, LSH_BITS, PROBE_FLIPS) + _LSH_RESULT
 
 ORACLES["search_lsh"] = S.search_ctes(candidates=S.ready_vector_candidates("5", "0.10::DOUBLE").replace(
     "cand0 AS (", "every AS (", 1) + "," + S.lsh_buckets("qsig", "qry", "query_id", LSH_BANDS, LSH_BITS) + ","

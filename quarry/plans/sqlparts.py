@@ -123,6 +123,22 @@ def lsh_buckets(name: str, src: str, keys: str, bands: int, bits: int, dim: int
   FROM {src}, {name}_planes GROUP BY {keys}, j // {bits})"""
 
 
+def lsh_probes(name: str, src: str, keys: str, bands: int, bits: int, flips: int) -> str:
+    """CTE ``{name}(keys, band, bucket)``: own buckets and those behind the ``flips`` smallest products.
+
+    Reads ``{name}_planes`` of ``lsh_buckets`` under the same name with ``_own`` appended.
+    """
+    return lsh_buckets(f"{name}_own", src, keys, bands, bits) + f""",
+{name}_dots AS (
+  SELECT {keys}, j // {bits} AS band, j % {bits} AS bit, row_number() OVER (
+    PARTITION BY {keys}, j // {bits} ORDER BY abs(list_dot_product(v, p)), j) AS place
+  FROM {src}, {name}_own_planes),
+{name} AS (
+  SELECT {keys}, band, CAST(bucket AS BIGINT) AS bucket FROM {name}_own UNION ALL
+  SELECT {keys}, band, xor(CAST(bucket AS BIGINT), CAST(1 << bit AS BIGINT))
+  FROM {name}_own JOIN {name}_dots USING ({keys}, band) WHERE place <= {flips})"""
+
+
 def search_ctes(limit_sql: str = "5", min_sql: str = "0.10::DOUBLE", fallback: float = 0.03,
                 multiplier: int = 2, candidates: str | None = None) -> str:
     """CTEs through ``results``; ``candidates`` supplies ``qry`` and ``cand0``."""

@@ -29,6 +29,16 @@ def to_index_rows(chunks_with_vectors: DataFrame) -> DataFrame:
 INDEX_ROWS_PER_FILE = 200_000
 
 
+#: Row groups and pages small enough to skip most of a file; Bloom filters on the key that is looked up.
+INDEX_FILE_OPTIONS = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10),
+                      "parquet.page.row.count.limit": "100",
+                      "parquet.bloom.filter.enabled#chunk_key": "true",
+                      "parquet.bloom.filter.expected.ndv#chunk_key": "20000"}
+
+#: Most keys that are looked up one by one; for more, a scan of the projects reads hardly more.
+FETCH_KEYS = 2000
+
+
 def refresh_projects(index_rows: DataFrame, path: str,
                      rows_per_file: int = INDEX_ROWS_PER_FILE) -> None:
     """Full refresh of every project present in ``index_rows``; other projects are untouched.
@@ -36,12 +46,13 @@ def refresh_projects(index_rows: DataFrame, path: str,
     Rows are rebalanced by project: small projects share a task (so a project is a few files, not
     one per input task) and AQE splits a project that is too large for one. Files are capped at
     ``rows_per_file`` rows, and dynamic partition overwrite swaps exactly the projects present in
-    the input.
+    the input. Files are sorted by ``chunk_key`` in small pages with a Bloom filter per row group, so
+    ``fetch_keys`` reads little more than the rows it wants.
     """
     rows = to_index_rows(index_rows) if "chunk_key" not in index_rows.columns else index_rows
     rows = rows.withColumn("project", F.col("project").cast("string"))
-    (rows.hint("rebalance", "project").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
+    (rows.hint("rebalance", "project").sortWithinPartitions("project", "chunk_key").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").options(**INDEX_FILE_OPTIONS)
      .option("maxRecordsPerFile", rows_per_file)
      .partitionBy("project")
      .parquet(path))
@@ -105,6 +116,31 @@ def read_index(spark: SparkSession, path: str, projects: list[str] | None = None
     return df
 
 
+def fetch_keys(index: DataFrame, keys: DataFrame, columns: list[str], most: int = FETCH_KEYS) -> DataFrame | None:
+    """The index rows of ``keys(project, chunk_key)``, or None when there are more than ``most`` keys.
+
+    The keys become a Parquet filter: folders go by project, row groups by Bloom filter and key range,
+    pages by the column index. The rows, at most ``most``, are written once.
+    """
+    wanted = keys.select("project", "chunk_key").distinct().limit(most + 1).collect()
+    if len(wanted) > most:
+        return None
+    found = index.where(F.col("project").isin(sorted({r.project for r in wanted}))
+                        & _any_of("chunk_key", sorted({r.chunk_key for r in wanted})))
+    return materialise(found.select(*columns), "fetched")
+
+
+def _any_of(column: str, values: list[str], listed: int = 10):
+    """``column`` is one of ``values``, as a balanced tree of short lists.
+
+    The Parquet reader tests the values of a list of up to ten one by one, of a longer one only their range.
+    """
+    if len(values) <= listed:
+        return F.col(column).isin(values)
+    half = len(values) // 2
+    return _any_of(column, values[:half], listed) | _any_of(column, values[half:], listed)
+
+
 def index_summary(chunks: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Per project: files and chunks indexed; with a registry, projects without chunks appear with
     status ``no_chunks``."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_SETTINGS, Settings
 from quarry.functions import text as tx
+from quarry.operators.index import fetch_keys
 from quarry.session import materialise
 from quarry.operators.knn import knn_exact_counted
 from quarry.operators.lexical import with_lexical_bonus, with_query_terms
@@ -97,10 +98,18 @@ def attach_metadata(index: DataFrame, hits: DataFrame, n_queries: int,
     into blocks that each fit, one broadcast join (and pruned scan) per block; only beyond
     ``MAX_METADATA_BLOCKS`` blocks does a single shuffle join take over. ``n_queries`` is counted
     on the (small) query table, never on ``hits``, which would re-run the retrieval.
+
+    An index with stored keys (``chunk_key``) is not scanned again for a few candidates: their rows are
+    looked up through the files' indexes (``fetch_keys``).
     """
-    meta = index.select(*INDEX_KEY, "language", "content", "path_tokens", "symbol_name",
-                        "symbol_type", "start_line", "end_line")
+    columns = [*INDEX_KEY, "language", "content", "path_tokens", "symbol_name", "symbol_type", "start_line", "end_line"]
+    meta = index.select(*columns)
     keys = hits.select("query_id", *INDEX_KEY, "distance")
+    if "chunk_key" in index.columns:
+        keys = materialise(keys, "candidates")  # read three times: the keys, their number, the join
+        near = fetch_keys(index, keys.withColumn("chunk_key", tx.chunk_key("file_path", "chunk_index")), columns)
+        if near is not None:
+            meta = near  # a key of one project may be an unwanted key of another: the join decides
     bound = n_queries * settings.max_candidates * CANDIDATE_ROW_BYTES
     blocks = max(1, math.ceil(bound / settings.knn_broadcast_max_bytes))
     if blocks == 1:

@@ -148,6 +148,18 @@ def q_search_lsh(spark, sf_dir):
     return _result_view(results)
 
 
+def q_search_stored(spark, sf_dir):
+    """Search of a stored index: signatures for retrieval, candidates looked up in the sorted files."""
+    path = scratch_path(spark, "index")
+    ix.refresh_projects(doc_index(spark, sf_dir), path)
+    index = ix.read_index(spark, path)
+    stored = li.write_signatures(index, f"{path}-signatures", li.LshParams(li.vector_dimension(index), LSH_BANDS, LSH_BITS),
+                                 id_cols=["file_path", "chunk_index"], group_col="project")
+    results, _ = srch.search(index, bench_queries(spark, sf_dir), DEFAULT_SETTINGS.with_(retrieval="lsh"),
+                             signatures=stored)
+    return _result_view(results)
+
+
 def q_search_fallback(spark, sf_dir):
     queries = bench_queries(spark, sf_dir, limit=varied_limit(), min_score=fallback_min())
     results, _ = srch.search(doc_index(spark, sf_dir), queries)
@@ -729,6 +741,7 @@ QUERIES = {
     "registry_lookup": q_registry_lookup,
     "search_indexed": q_search_indexed,
     "search_lsh": q_search_lsh,
+    "search_stored": q_search_stored,
 }
 
 __all__ = ["QUERIES", "table", "normalise_output", "doc_index", "bench_queries",

@@ -491,6 +491,9 @@ cand0 AS (SELECT e.* FROM every e JOIN met m USING (query_id, project, file_path
     + S.RESULT_SELECT
 
 
+ORACLES["search_stored"] = ORACLES["search_lsh"]
+
+
 ORACLES["registry_round_trip"] = f"""WITH n AS (
   SELECT DISTINCT split_part({FX.DOC_DISCOVERY_PATH}, '/', 1) AS name FROM documents)
 SELECT name, '/ws/' || name AS project_path, {S.index_name('name', _PREFIX)} AS index_name,

@@ -283,6 +283,8 @@ def q_file_scan(spark, sf_dir):
 def q_tree_scan(spark, sf_dir):
     """Pages written as real files, then read back by both file adapters."""
     root = scratch_path(spark, "tree")
+    if "://" in root and not root.startswith("file:"):
+        raise ValueError(f"real files need a shared folder that is mounted, not {root}")
     pages = table(spark, sf_dir, "pages").select(
         F.expr(FX.PAGE_PROJECT).alias("project"), F.expr(FX.PAGE_FILE).alias("file_path"), "html")
 

@@ -1,8 +1,8 @@
 """File tables: adapters, path predicates, decoding and project discovery.
 
 The engine works on one table shape, ``files(project, file_path, content)``, with project-relative
-POSIX paths. It can come from any table, from Spark's ``binaryFile`` source, or from the
-``quarry_tree`` Python data source (see ``tree_source``), which also returns hidden files.
+POSIX paths. It can come from any table, from Spark's ``binaryFile`` source, or from a folder-by-folder
+listing (see ``tree_source``), which also returns hidden files.
 """
 
 from __future__ import annotations
@@ -46,18 +46,15 @@ def from_binary_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def from_tree(spark: SparkSession, root: str, salts: int = 4) -> DataFrame:
-    """Adapter C: the ``quarry_tree`` data source (reads hidden files too).
+def from_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Adapter C: a tree that all executors see, listed folder by folder (reads hidden files too).
 
-    A file that cannot be read is a row with NULL content and its error; decoding leaves it out.
+    The tree is listed when this is called, the files are read when the result is. A file or folder that
+    cannot be read is a row with NULL content and its error; decoding leaves it out.
     """
-    from quarry.session import ship_package
-    from quarry.sources.tree_source import register
+    from quarry.sources.tree_source import read_tree
 
-    ship_package(spark)
-    register(spark)
-    root = re.sub("^file:/+", "/", root)
-    return spark.read.format("quarry_tree").option("root", root).option("salts", str(salts)).load()
+    return read_tree(spark, re.sub("^file:/+", "/", root))
 
 
 def select_source_files(files: DataFrame) -> DataFrame:

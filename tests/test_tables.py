@@ -28,7 +28,7 @@ def test_tree_source_keeps_hidden_files(spark):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "w") as fh:
             fh.write("x = 1\n")
-    got = sorted((r.project, r.file_path) for r in src.from_tree(spark, root, salts=3).collect())
+    got = sorted((r.project, r.file_path) for r in src.from_tree(spark, root).collect())
     assert got == [("other", "x.py"), ("proj", ".github/c.yml"), ("proj", "__init__.py"),
                    ("proj", "_priv/d.py"), ("proj", "sub/b.MD")]
 
@@ -196,7 +196,7 @@ def test_source_tree_fixture_end_to_end(spark):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as fh:
             fh.write(data)
-    chunks = build_chunks(src.from_tree(spark, root, salts=2)).collect()
+    chunks = build_chunks(src.from_tree(spark, root)).collect()
     by_file = {}
     for r in chunks:
         by_file.setdefault(r.file_path, []).append(r)
@@ -269,7 +269,6 @@ def test_repeated_query_ids_are_rejected(spark):
 def test_file_adapters_on_a_real_tree(spark, tmp_path):
     """Ignored folders and unknown extensions are not opened; ``foo/foo`` stays; unreadable files show."""
     from quarry.sources.files import from_binary_files, from_tree
-    from quarry.sources.tree_source import _Part, _TreeReader
 
     for name, data in {"foo/foo.py": b"x", "foo/.git/a.py": b"x", "foo/node_modules/a.js": b"x", "foo/b.bin": b"x",
                        "foo/foo": b"x", "bar/_init.py": b"y"}.items():
@@ -281,8 +280,6 @@ def test_file_adapters_on_a_real_tree(spark, tmp_path):
     for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
         got = {(r.project, r.file_path) for r in from_binary_files(spark, root).collect()}
         assert ("foo", "foo.py") in got and ("foo", "foo") in got and "" not in {p for p, _ in got}
-    (tmp_path / "foo" / "bad.py").mkdir()
-    assert all(len(r) == 4 for r in _TreeReader(str(tmp_path), 1).read(_Part("foo", 0)))
 
 
 def test_index_entries_are_completed(spark):

@@ -2,18 +2,21 @@
 
 All maintenance is set-based: an upsert is a full outer join of the current table and the
 incoming records, a stamp is a left join with the index summary, a removal is an anti join. The
-result is a new version of the table (Parquet has no in-place MERGE); write it with
-``save_registry`` to a fresh directory and point readers at it.
+result is a new version of the table (Parquet has no in-place MERGE); ``save_registry`` writes it to a
+folder of its own and then points readers at it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_SETTINGS, Settings
 from quarry.functions.text import index_name
+from quarry.session import ship_package
 
 REGISTRY_SCHEMA = ("name string, project_path string, index_name string, created_at timestamp, "
                    "updated_at timestamp, last_indexed_at timestamp, "
@@ -30,32 +33,49 @@ def _absent(error: AnalysisException) -> bool:
     return (error.getCondition() or "").split(".")[0] == "PATH_NOT_FOUND"
 
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Read a registry version; a path that does not exist yields an empty registry (a first run).
+POINTER = "CURRENT"
 
-    Every other failure (permissions, a flaky store, damaged files) is raised: an empty registry
-    would be saved over the real one.
-    """
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that the registry's pointer names; None before the first save."""
+    place, fs = _file_system(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
     try:
-        return spark.read.schema(REGISTRY_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if not _absent(error):
-            raise
-        return empty_registry(spark)
+        return bytes(stream.readAllBytes()).decode().strip()
+    finally:
+        stream.close()
+
 
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry's current version; a path that does not exist yields an empty registry (a first run).
 
-STATE_JSON_SCHEMA = (
-    "struct<projects: map<string, struct<name: string, project_path: string, index_name: string,"
-    " created_at: string, updated_at: string, last_indexed_at: string,"
-    " last_indexed_chunk_count: bigint>>>")
+    A version keeps its folder, so a table that was loaded stays as it is whatever is saved later. Every
+    other failure (permissions, a flaky store, damaged files) is raised: an empty registry would be
+    saved over the real one.
+    """
+    version = current_version(spark, path)
+    if version is not None:
+        return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{path.rstrip('/')}/{version}")
+    place, fs = _file_system(spark, path)
+    if not fs.exists(place) or any(f.getPath().getName().startswith("version-") for f in fs.listStatus(place)):
+        return empty_registry(spark)  # nothing saved, or a first save that did not end
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(path)  # a plain Parquet table
 
 
 def load_registry_json(spark: SparkSession, path: str) -> DataFrame:
-    """Import a registry kept as one JSON state file: ``{"projects": {name: record}}``.
+    """Import registries kept as JSON state files: ``{"projects": {name: record}}``.
 
-    Timestamps are ISO-8601 strings (with offset). A file that does not parse, or whose
-    ``projects`` is not an object, yields an empty registry; a missing ``name`` falls back to the
-    map key and a missing count to 0.
+    ``path`` is a file, a folder or a pattern. Each file is parsed for itself and each field for itself:
+    a file that does not parse, or whose ``projects`` is not an object, yields nothing; a field that is
+    missing or not of its type is NULL; a missing ``name`` falls back to the map key and a missing count
+    to 0. Timestamps are ISO-8601 strings (with offset).
     """
     try:
         raw = spark.read.text(path, wholetext=True)
@@ -63,25 +83,62 @@ def load_registry_json(spark: SparkSession, path: str) -> DataFrame:
         if not _absent(error):
             raise
         return empty_registry(spark)
-    parsed = raw.select(F.from_json("value", STATE_JSON_SCHEMA).alias("s"))
-    rows = parsed.select(F.explode_outer("s.projects").alias("key", "p")).where(F.col("key").isNotNull())
+    projects = F.try_variant_get(F.try_parse_json("value"), "$.projects", "map<string, variant>")
+    rows = raw.select(F.explode(projects).alias("key", "p"))
 
-    def ts(c: str):
-        return F.to_timestamp(F.col(f"p.{c}"))
+    def field(c: str, kind: str = "string"):
+        return F.try_variant_get("p", f"$.{c}", kind)
 
+    times = [F.try_to_timestamp(field(c)).alias(c) for c in ("created_at", "updated_at", "last_indexed_at")]
     return rows.select(
-        F.coalesce(F.col("p.name"), F.col("key")).alias("name"),
-        F.col("p.project_path").alias("project_path"),
-        F.col("p.index_name").alias("index_name"),
-        ts("created_at").alias("created_at"), ts("updated_at").alias("updated_at"),
-        ts("last_indexed_at").alias("last_indexed_at"),
-        F.coalesce(F.col("p.last_indexed_chunk_count"), F.lit(0)).cast("long")
-        .alias("last_indexed_chunk_count"),
-    )
+        F.coalesce(field("name"), F.col("key")).alias("name"), field("project_path").alias("project_path"),
+        field("index_name").alias("index_name"), *times,
+        F.coalesce(field("last_indexed_chunk_count", "bigint"), F.lit(0)).cast("long").alias("last_indexed_chunk_count"))
+
+
+def save_registry(registry: DataFrame, path: str) -> str:
+    """Save a new version next to the older ones and point the registry at it; returns its name.
+
+    The pointer is a small file that is replaced by an atomic rename after the version is whole. A save
+    that is killed at any point leaves the version before it in force, and a registry may be saved over
+    the path that it was loaded from.
+    """
+    spark = registry.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    registry.select(*REGISTRY_COLUMNS).write.parquet(f"{path.rstrip('/')}/{version}")
+    _point(spark, path, version)
+    return version
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    target, _ = _file_system(spark, f"{path.rstrip('/')}/{POINTER}")
+    fresh, fs = _file_system(spark, f"{path.rstrip('/')}/.{version}.pointer")
+    stream = fs.create(fresh, True)
+    try:
+        stream.write(version.encode())
+    finally:
+        stream.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+
 
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete all but the current and the newest ``keep`` other versions; returns how many went.
 
-def save_registry(registry: DataFrame, path: str) -> None:
-    registry.select(*REGISTRY_COLUMNS).write.mode("overwrite").parquet(path)
+    Unfinished versions count as others. Tables loaded from a deleted version can no longer be read.
+    """
+    place, fs = _file_system(spark, path)
+    current = current_version(spark, path)
+    if current is None:
+        return 0
+    others = [f for f in fs.listStatus(place)
+              if f.getPath().getName().startswith("version-") and f.getPath().getName() != current]
+    others.sort(key=lambda f: -f.getModificationTime())
+    return sum(bool(fs.delete(f.getPath(), True)) for f in others[keep:])
 
 
 def _ts(now) -> Column:
@@ -97,6 +154,7 @@ def upsert_projects(current: DataFrame, incoming: DataFrame, now=None,
     ``seq`` (arrival order) wins; without ``seq`` the greatest path wins. Blank names are rejected (left out and reported by
     ``invalid_names``).
     """
+    ship_package(current.sparkSession)  # index names fold rare letters in Python
     ts = _ts(now)
     inc = incoming.where(F.length(F.trim("name")) > 0)
     if "seq" in inc.columns:

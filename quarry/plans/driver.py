@@ -585,6 +585,41 @@ def q_registry_round_trip(spark, sf_dir):
     return normalise_output(rg.compact_registered(back).crossJoin(F.broadcast(counts)))
 
 
+def q_registry_versions(spark, sf_dir):
+    """Two saves over one path, the second from the registry that it replaces, and old versions dropped."""
+    path = scratch_path(spark, "registry")
+    rg.save_registry(_nation_registry(spark, sf_dir), path)
+    first = rg.current_version(spark, path)
+    rg.save_registry(rg.upsert_projects(rg.load_registry(spark, path), _incoming(spark, sf_dir), FX.REGISTRY_NOW), path)
+    second = rg.current_version(spark, path)
+    before = spark.read.parquet(f"{path}/{first}").count()
+    return _registry_view(rg.load_registry(spark, path)).withColumn("renewed", F.lit(first != second)) \
+        .withColumn("before", F.lit(before).cast("long"))
+
+
+def q_registry_json(spark, sf_dir):
+    """State files, one per region: two that parse (one with odd records), three that hold no projects."""
+    records = _nation_registry(spark, sf_dir).join(
+        table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_regionkey", "n_nationkey"), "name")
+    count = F.col("last_indexed_chunk_count").cast("string")
+    odd = F.col("n_regionkey") == 3
+    record = F.concat(
+        F.lit('{'), F.when(odd & (F.col("n_nationkey") % 2 == 0), F.lit("")).otherwise(F.concat(F.lit('"name": "'), "name", F.lit('", '))),
+        F.lit('"project_path": "'), "project_path", F.lit('", "index_name": "'), "index_name",
+        F.lit('", "created_at": "'), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('", "updated_at": '),
+        F.when(odd, F.lit("17.5")).otherwise(F.concat(F.lit('"'), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"'))),
+        F.lit(', "last_indexed_chunk_count": '), F.when(odd & (F.col("n_nationkey") % 3 == 0), F.lit("[1]")).otherwise(count), F.lit("}"))
+    entry = F.concat(F.lit('"'), "name", F.lit('": '), F.when(odd & (F.col("n_nationkey") % 4 == 0), F.lit("null")).otherwise(record))
+    body = records.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(entry)), ",\n").alias("body"))
+    region = F.col("n_regionkey")
+    text = F.when(region == 1, F.concat(F.lit('{"projects": {'), "body")) \
+        .when(region == 2, F.lit('{"projects": ["a", {"name": "b"}]}')).when(region == 4, F.lit('["projects"]')) \
+        .otherwise(F.concat(F.lit('{"projects": {'), "body", F.lit("}}\n")))
+    path = scratch_path(spark, "state")
+    body.select(text.alias("value"), "n_regionkey").write.partitionBy("n_regionkey").text(path)
+    return _registry_view(rg.load_registry_json(spark, f"{path}/*"))
+
+
 def _ts_str(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -736,6 +771,8 @@ QUERIES = {
     "index_run": q_index_run,
     "index_drop": q_index_drop,
     "registry_round_trip": q_registry_round_trip,
+    "registry_versions": q_registry_versions,
+    "registry_json": q_registry_json,
     "project_upsert": q_project_upsert,
     "project_stamp": q_project_stamp,
     "project_remove": q_project_remove,

@@ -367,6 +367,21 @@ SELECT name, project_path, index_name, {_fmt('created_at')} AS created_at,
        CAST(cnt AS BIGINT) AS last_indexed_chunk_count
 FROM up"""
 
+ORACLES["registry_versions"] = ORACLES["project_upsert"].replace(
+    "AS last_indexed_chunk_count\nFROM up", "AS last_indexed_chunk_count, true AS renewed,\n"
+    "       (SELECT count(*) FROM nation) AS before\nFROM up")
+
+_ODD = "n_regionkey = 3 AND n_nationkey % 4 = 0"
+ORACLES["registry_json"] = "WITH " + _CUR.strip() + f"""
+SELECT c.name, CASE WHEN {_ODD} THEN NULL ELSE project_path END AS project_path,
+       CASE WHEN {_ODD} THEN NULL ELSE index_name END AS index_name,
+       {_fmt(f'CASE WHEN {_ODD} THEN NULL ELSE created_at END')} AS created_at,
+       {_fmt('CASE WHEN n_regionkey = 3 THEN NULL ELSE updated_at END')} AS updated_at,
+       CAST(NULL AS VARCHAR) AS last_indexed_at,
+       CAST(CASE WHEN n_regionkey = 3 AND (n_nationkey % 4 = 0 OR n_nationkey % 3 = 0) THEN 0 ELSE cnt END AS BIGINT)
+         AS last_indexed_chunk_count
+FROM cur c JOIN nation ON n_name = c.name WHERE n_regionkey IN (0, 3)"""
+
 ORACLES["project_list"] = _UPSERT + f"""
 SELECT name, project_path, {_fmt('last_indexed_at')} AS last_indexed_at,
        CAST(cnt AS BIGINT) AS last_indexed_chunk_count

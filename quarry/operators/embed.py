@@ -7,8 +7,9 @@ Backends:
 * ``hashed_embedding`` - deterministic hashed bag of words: tokens -> bucket from the first 32 bits
   of their MD5 -> counts -> L2 normalised. Bucket ids are computed in the JVM; the per-row count
   vector is filled by numpy over whole Arrow batches;
-* ``model_embedding`` - any user function ``list[str] -> 2-D array`` run as an iterator Arrow UDF,
-  so the model is loaded once per worker and fed whole batches.
+* ``model_embedding`` / ``model_column`` - any user function ``list[str] -> 2-D array`` run as an iterator
+  Arrow UDF: the model is loaded once per task and fed batches of a fixed size; failures can stay with
+  their rows.
 """
 
 from __future__ import annotations
@@ -69,22 +70,70 @@ def attach_vectors(chunks: DataFrame, vectors: DataFrame, on) -> tuple[DataFrame
     return paired.where("_found").drop("_found"), missing
 
 
-def model_embedding(df: DataFrame, text_col: str, model_factory: Callable[[], Callable],
-                    out_col: str = "embedding") -> DataFrame:
-    """User model backend: ``model_factory()`` runs once per Python worker and returns a callable
-    mapping a list of texts to an (n, dim) array."""
-    from quarry.session import ship_package
+#: Texts given to a model at once.
+MODEL_BATCH = 64
+
+
+def _vectors(model: Callable, texts: list[str], dim: int | None) -> np.ndarray:
+    """The model's vectors, checked: one row per text, of the dimension that was asked for."""
+    found = np.asarray(model(texts), dtype=np.float32)
+    if found.ndim != 2 or found.shape[0] != len(texts):
+        raise ValueError(f"model gave shape {found.shape} for {len(texts)} texts")
+    if dim is not None and found.shape[1] != dim:
+        raise ValueError(f"model gave {found.shape[1]} dimensions instead of {dim}")
+    return found
+
+
+def _embed_batch(model: Callable, texts: list[str], dim: int | None) -> tuple[list, list]:
+    """(vectors, errors): where the model fails for a batch, each text is tried alone."""
+    try:
+        return list(_vectors(model, texts, dim)), [None] * len(texts)
+    except Exception as failure:  # whatever a user's model raises is data here
+        if len(texts) == 1:
+            return [None], [f"{type(failure).__name__}: {failure}"]
+    parts = [_embed_batch(model, [t], dim) for t in texts]
+    return [v for p, _ in parts for v in p], [e for _, p in parts for e in p]
 
-    ship_package(df.sparkSession)
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+def model_column(model_factory: Callable[[], Callable], batch_size: int = MODEL_BATCH, dim: int | None = None,
+                 errors: bool = False) -> Callable[[Column], Column]:
+    """User model backend: a function from a text Column to a vector Column.
+
+    ``model_factory()`` runs once per task and returns a callable from a list of texts to an (n, dim)
+    array. It gets texts in their order, ``batch_size`` at a time whatever the Arrow batches are; NULL
+    texts have NULL vectors and never reach it. A wrong number or dimension of vectors is an error.
+
+    With ``errors`` the column is ``struct<vector, error>``: a text that the model fails for has no vector
+    but a message, and the other texts of its batch keep theirs.
+    """
+    kind = T.ArrayType(T.FloatType())
+    if errors:
+        kind = T.StructType([T.StructField("vector", kind), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(kind)
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = model_factory()
         for texts in batches:
-            mat = np.asarray(model(texts.tolist()), dtype=np.float32)
-            yield pd.Series(list(mat))
+            given = np.flatnonzero(texts.notna().to_numpy())
+            out, why = np.full(len(texts), None, object), np.full(len(texts), None, object)
+            for lo in range(0, len(given), batch_size):
+                at = given[lo:lo + batch_size]
+                part = texts.iloc[at].tolist()
+                found, failed = _embed_batch(model, part, dim) if errors else (_vectors(model, part, dim), [None] * len(at))
+                for i, vector, error in zip(at, found, failed):
+                    out[i], why[i] = vector, error
+            yield pd.DataFrame({"vector": out, "error": why}) if errors else pd.Series(out)
+
+    return embed
+
+
+def model_embedding(df: DataFrame, text_col: str, model_factory: Callable[[], Callable], out_col: str = "embedding",
+                    batch_size: int = MODEL_BATCH, dim: int | None = None) -> DataFrame:
+    """``df`` with the vectors of a user model for ``text_col`` (see ``model_column``)."""
+    from quarry.session import ship_package
 
-    return df.withColumn(out_col, embed(F.col(text_col)))
+    ship_package(df.sparkSession)
+    return df.withColumn(out_col, model_column(model_factory, batch_size, dim)(F.col(text_col)))
 
 
 def embed_unique_texts(df: DataFrame, text_col: str, embed, out_col: str = "embedding",

@@ -20,9 +20,9 @@ INDEX_COLUMNS = ["project", "file_path", "chunk_index", "chunk_key", "language",
                  "embedding"]
 
 
-def to_index_rows(chunks_with_vectors: DataFrame) -> DataFrame:
+def to_index_rows(chunks_with_vectors: DataFrame, *more: str) -> DataFrame:
     df = chunks_with_vectors.withColumn("chunk_key", chunk_key("file_path", "chunk_index"))
-    return df.select(*INDEX_COLUMNS)
+    return df.select(*INDEX_COLUMNS, *more)
 
 
 # Upper bound of rows per written file (a chunk row with a 512-float vector is a few KB).
@@ -159,16 +159,21 @@ def index_summary(chunks: DataFrame, registry: DataFrame | None = None) -> DataF
 
 
 def index_projects(files: DataFrame, path: str, embed, registry: DataFrame | None = None,
-                   now=None, settings=None, decoded: bool = False):
+                   now=None, settings=None, decoded: bool = False, signatures: str | None = None, lsh=None):
     """Index projects end to end: chunks -> search text -> vectors -> refresh -> summary -> stamp.
 
     ``files(project, file_path, content)`` holds every file of the projects to (re)index (bytes,
     or text with ``decoded=True``); ``embed`` maps a text Column to a vector Column (e.g.
-    ``lambda c: hashed_embedding(c)``). Only projects present in ``files`` are rewritten.
+    ``lambda c: hashed_embedding(c)``) or to ``struct<vector, error>`` (``model_column(..., errors=True)``).
+    Only projects present in ``files`` are rewritten.
     With a ``registry``, files of unregistered projects are left out, registered projects
     without chunks are reported as ``no_chunks``, and the stamped registry is returned. The summary
     counts the rows of this run only: a project whose files now give no chunks is ``no_chunks``, keeps
-    its old rows and is not stamped.
+    its old rows and is not stamped. So is a project with a text that could not be embedded: it is
+    ``failed`` with the first error in its files, and the other projects are indexed.
+
+    With ``signatures`` (a path) and ``lsh`` (``LshParams``) the stored approximate index of the same
+    projects is renewed with their rows.
 
     Returns ``(summary, registry_after)``; ``registry_after`` is None without a registry.
     """
@@ -182,16 +187,29 @@ def index_projects(files: DataFrame, path: str, embed, registry: DataFrame | Non
         files = files.join(names, "project", "left_semi")
     chunks = (with_search_text(structured_chunks(files, settings)) if decoded
               else build_chunks(files, settings))
-    rows = to_index_rows(chunks.withColumn("embedding", embed(F.col("search_text"))))
+    embedded = chunks.withColumn("embedding", embed(F.col("search_text")))
+    error = F.lit(None).cast("string")
+    if isinstance(embedded.schema["embedding"].dataType, T.StructType):
+        embedded = embedded.withColumn("_error", F.col("embedding.error")).withColumn("embedding", F.col("embedding.vector"))
+        error = F.col("_error")
     # computed once: the table is written from these rows and the summary counts them
-    rows = materialise(rows, "index_rows")
+    every = materialise(to_index_rows(embedded.withColumn("_error", error), "_error"), "index_rows")
+    failed = materialise(every.where("_error is not null").groupBy("project").agg(
+        F.min_by("_error", F.struct("file_path", "chunk_index")).alias("error")), "failed")
+    rows = every.drop("_error").join(rg.broadcast_if_small(failed), "project", "left_anti")
     refresh_projects(rows, path)
+    if signatures is not None:
+        from quarry.operators.lsh_index import write_signatures
+
+        write_signatures(rows, signatures, lsh, id_cols=["file_path", "chunk_index"], group_col="project")
     summary = index_summary(rows, registry)
     if registry is None:
         empty = files.select("project").distinct().join(summary, "project", "left_anti")
         summary = summary.unionByName(empty.select(
             "project", F.lit(0).cast("long").alias("files_indexed"),
             F.lit(0).cast("long").alias("chunks_indexed"), F.lit("no_chunks").alias("status")))
+    summary = summary.join(rg.broadcast_if_small(failed), "project", "left").withColumn(
+        "status", F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(F.col("status")))
     if registry is None:
         return summary, None
     stamped = rg.stamp_indexed(registry, summary.where(F.col("chunks_indexed") > 0), now=now)
@@ -199,10 +217,11 @@ def index_projects(files: DataFrame, path: str, embed, registry: DataFrame | Non
 
 
 def index_totals(summary: DataFrame) -> DataFrame:
-    """One row over an index run: projects, projects with chunks, files and chunks."""
+    """One row over an index run: projects, those with chunks, those that failed, files and chunks."""
     return summary.agg(
         F.count(F.lit(1)).alias("projects"),
         F.count_if(F.col("status") == "ok").alias("projects_indexed"),
+        F.count_if(F.col("status") == "failed").alias("projects_failed"),
         F.coalesce(F.sum("files_indexed"), F.lit(0)).cast("long").alias("files_indexed"),
         F.coalesce(F.sum("chunks_indexed"), F.lit(0)).cast("long").alias("chunks_indexed"))
 

@@ -267,7 +267,8 @@ def compact_indexed(summary: DataFrame, registry: DataFrame) -> DataFrame:
     """The short form of an index run per project, with its index name."""
     names = registry.select(F.col("name").alias("project"), "index_name")
     return summary.join(broadcast_if_small(names), "project", "left").select(
-        "project", "index_name", "files_indexed", "chunks_indexed", "status")
+        "project", "index_name", "files_indexed", "chunks_indexed", "status",
+        *[c for c in ("error",) if c in summary.columns])
 
 
 def remove_with_chunks(current: DataFrame, removals: DataFrame, index_path: str) -> tuple[DataFrame, DataFrame]:

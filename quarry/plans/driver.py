@@ -547,10 +547,56 @@ def q_index_run(spark, sf_dir):
     rows = ix.read_index(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias("rows_in_index"))
     stamped = second.select(F.col("name").alias("project"), _ts_str("last_indexed_at").alias("last_indexed_at"),
                             "last_indexed_chunk_count")
-    out = summary.join(stamped, "project").join(rows, "project", "left")
+    out = summary.drop("error").join(stamped, "project").join(rows, "project", "left")
     return normalise_output(out.withColumn("rows_in_index", F.coalesce("rows_in_index", F.lit(0))))
 
 
+VOWELS = "aeiou"
+
+
+def _vowel_model():
+    """A deterministic model: vowel counts and length; it fails for texts that say so."""
+    def model(texts):
+        if any("cannot be embedded" in t for t in texts):
+            raise ValueError("text refused")
+        return [[t.count(v) for v in VOWELS] + [len(t)] for t in texts]
+
+    return model
+
+
+def q_embed_model(spark, sf_dir):
+    """Vectors of all documents from a user model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = em.model_embedding(docs, "text", _vowel_model, dim=len(VOWELS) + 1)
+    return normalise_output(found.select("doc_id", *[
+        F.get("embedding", k).cast("long").alias(f"n_{v}") for k, v in enumerate([*VOWELS, "chars"])]))
+
+
+def q_index_all(spark, sf_dir):
+    """An index run over all projects with a model that refuses some texts of ``src5``: compact form and totals."""
+    path = scratch_path(spark, "index_all")
+    odd = (F.col("project") == "src5") & (F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    files = _odd_names(spark, sf_dir).withColumn("content", F.when(
+        odd, F.concat(F.lit("This cannot be embedded.\n"), "content")).otherwise(F.col("content"))).drop("doc_id")
+    registry = rg.upsert_projects(rg.empty_registry(spark), files.select(
+        F.col("project").alias("name"), F.lit("/ws").alias("project_path")), now=FX.REGISTRY_T0)
+    summary, after = ix.index_projects(files, path, em.model_column(_vowel_model, dim=len(VOWELS) + 1, errors=True),
+                                       registry, now=FX.REGISTRY_NOW, decoded=True, signatures=f"{path}-signatures",
+                                       lsh=li.LshParams(len(VOWELS) + 1, 2, 4))
+    stored = ix.read_index(spark, path).groupBy("project").agg(F.count("*").alias("rows"))
+    signed = li.read_signatures(spark, f"{path}-signatures").rows.groupBy("project").agg(F.count("*").alias("signatures"))
+    stamped = after.select(F.col("name").alias("project"), F.col("last_indexed_at").isNotNull().alias("stamped"))
+    out = (rg.compact_indexed(summary, registry).join(stored, "project", "left").join(signed, "project", "left")
+           .join(stamped, "project").crossJoin(F.broadcast(ix.index_totals(summary).select(
+               F.struct("projects", "projects_indexed", "projects_failed", "files_indexed", "chunks_indexed").alias("t")))))
+    return normalise_output(out.select(
+        "project", "index_name", "files_indexed", "chunks_indexed", "status", "error", "stamped",
+        F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("signatures", F.lit(0)).alias("signatures"),
+        F.col("t.projects").alias("projects"), F.col("t.projects_indexed").alias("projects_indexed"),
+        F.col("t.projects_failed").alias("projects_failed"), F.col("t.files_indexed").alias("all_files"),
+        F.col("t.chunks_indexed").alias("all_chunks")))
+
+
 def q_index_drop(spark, sf_dir):
     """Drop projects with awkward names together with their registration; what is left, what went."""
     path = scratch_path(spark, "index_drop")
@@ -769,6 +815,8 @@ QUERIES = {
     "index_refresh": q_index_refresh,
     "index_summary": q_index_summary,
     "index_run": q_index_run,
+    "index_all": q_index_all,
+    "embed_model": q_embed_model,
     "index_drop": q_index_drop,
     "registry_round_trip": q_registry_round_trip,
     "registry_versions": q_registry_versions,

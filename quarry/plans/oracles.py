@@ -472,6 +472,24 @@ SELECT k.project, CASE WHEN k.project = 'src5' THEN 0 ELSE coalesce(files, 0) EN
        coalesce(n, 0) AS last_indexed_chunk_count, coalesce(n, 0) AS rows_in_index
 FROM known k LEFT JOIN per p USING (project)"""
 
+ORACLES["embed_model"] = """SELECT CAST(doc_id AS BIGINT) AS doc_id, """ + ", ".join(
+    f"CAST(length(text) - length(replace(text, '{v}', '')) AS BIGINT) AS n_{v}" for v in "aeiou") + """,
+       CAST(length(text) AS BIGINT) AS n_chars FROM documents"""
+
+ORACLES["index_all"] = f"""WITH RECURSIVE odd AS (
+  SELECT {FX.ODD_PROJECT} AS project, {FX.DOC_MD_PATH} AS file_path, {FX.DOC_PARAGRAPHS} AS text
+  FROM documents),""" + S.chunk_ctes("odd", ["project", "file_path"], "text").rstrip() + f""",
+per AS (SELECT project, count(DISTINCT file_path) AS files, count(*) AS n FROM ck_out WHERE project <> 'src5' GROUP BY project),
+known AS (SELECT DISTINCT project FROM odd),
+run AS (SELECT project, coalesce(files, 0) AS files, coalesce(n, 0) AS n FROM known LEFT JOIN per USING (project))
+SELECT project, {S.index_name('project', _PREFIX)} AS index_name, files AS files_indexed, n AS chunks_indexed,
+       CASE WHEN project = 'src5' THEN 'failed' WHEN n = 0 THEN 'no_chunks' ELSE 'ok' END AS status,
+       CASE WHEN project = 'src5' THEN 'ValueError: text refused' END AS error, n > 0 AS stamped,
+       n AS rows, 2 * n AS signatures, (SELECT count(*) FROM run) AS projects,
+       (SELECT count(*) FROM run WHERE n > 0) AS projects_indexed, CAST(1 AS BIGINT) AS projects_failed,
+       (SELECT CAST(sum(files) AS BIGINT) FROM run) AS all_files, (SELECT CAST(sum(n) AS BIGINT) FROM run) AS all_chunks
+FROM run"""
+
 ORACLES["index_drop"] = f"""WITH odd AS (
   SELECT {FX.ODD_PROJECT} AS name, count(*) AS n FROM documents GROUP BY 1)
 SELECT name, 'kept' AS state, true AS ok, n AS chunks FROM odd WHERE name NOT IN ('007', 'a:b', '50%')

@@ -156,3 +156,45 @@ def embed_unique_texts(df: DataFrame, text_col: str, embed, out_col: str = "embe
     if n_keys * dim_hint * 8 <= max_broadcast_bytes:
         vectors = F.broadcast(vectors)
     return keyed.join(vectors, "_qkey", "left").drop("_qkey")
+
+
+def read_cache(spark, path: str, dim_type=None) -> DataFrame:
+    """(key, vector) of the embedding cache under ``path``, one row per key; empty before the first run."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], T.StructType([
+            T.StructField("key", T.StringType()), T.StructField("vector", dim_type or T.ArrayType(T.FloatType()))]))
+    # two runs at once may both have added a key: either vector will do, the least one is reproducible
+    return spark.read.parquet(path).groupBy("key").agg(F.min("vector").alias("vector"))
+
+
+def embed_cached(df: DataFrame, text_col: str, embed, path: str, out_col: str = "embedding",
+                 max_broadcast_bytes: int = 256 * 1024 * 1024) -> tuple[DataFrame, int]:
+    """``df`` with vectors from a cache that lasts across runs, and the number of texts embedded now.
+
+    Texts are keyed by their white-space-compacted form. Distinct keys are found with a partial aggregate;
+    an anti join with the cache leaves the misses, which alone are embedded (the least raw text of each
+    key) and appended to the cache in one committed write: a run that fails adds nothing or whole rows.
+    The cache must hold vectors of one model only: give each model a path of its own. Texts whose
+    embedding is NULL are not kept. The vectors that this table asks for go back by broadcast while their
+    real size allows, else by a join on the key.
+    """
+    from quarry.functions.text import query_cache_key
+    from quarry.session import ship_package
+
+    spark = df.sparkSession
+    ship_package(spark)
+    keyed = df.withColumn("_key", query_cache_key(text_col))
+    asked = materialise(keyed.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.min(text_col).alias("_text")), "asked")
+    vector = embed(F.col("_text"))
+    kind = asked.select(vector.alias("vector")).schema["vector"].dataType
+    misses = asked.join(read_cache(spark, path, kind).select("key"), "key", "left_anti")
+    # filtered after it is written: a filter on the vector would have the model run twice
+    fresh = materialise(misses.select("key", vector.alias("vector")), "fresh").where("vector is not null")
+    added = fresh.count()
+    if added:
+        fresh.write.mode("append").parquet(path)
+    wanted = materialise(read_cache(spark, path, kind).join(asked.select("key"), "key", "left_semi"), "vectors")
+    size = wanted.agg(F.coalesce(F.sum(F.size("vector") * 8 + F.octet_length("key")), F.lit(0)).alias("n")).first().n
+    wanted = wanted.select(F.col("key").alias("_key"), F.col("vector").alias(out_col))
+    return keyed.join(F.broadcast(wanted) if size <= max_broadcast_bytes else wanted, "_key", "left").drop("_key"), added

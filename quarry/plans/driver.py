@@ -572,6 +572,20 @@ def q_embed_model(spark, sf_dir):
         F.get("embedding", k).cast("long").alias(f"n_{v}") for k, v in enumerate([*VOWELS, "chars"])]))
 
 
+def q_embed_cached(spark, sf_dir):
+    """Benchmark texts, then those and all conversation turns, then the same again, over one cache."""
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    spaced = bench.select((-F.col("id") - 1).alias("id"), "turn", F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), (F.col("turn") + 1).cast("long").alias("turn"), "text")
+    every = bench.unionByName(spaced).unionByName(turns)
+    path, model = scratch_path(spark, "embedding_cache"), em.model_column(_vowel_model, dim=len(VOWELS) + 1)
+    added = [em.embed_cached(t, "text", model, path)[1] for t in (bench, every)]
+    found, last = em.embed_cached(every, "text", model, path)
+    return normalise_output(found.select(
+        "id", "turn", F.get("embedding", 0).cast("long").alias("n_a"), F.get("embedding", 4).cast("long").alias("n_u"),
+        *[F.lit(n).cast("long").alias(f"added_{k}") for k, n in enumerate([*added, last])]))
+
+
 def q_index_all(spark, sf_dir):
     """An index run over all projects with a model that refuses some texts of ``src5``: compact form and totals."""
     path = scratch_path(spark, "index_all")
@@ -817,6 +831,7 @@ QUERIES = {
     "index_run": q_index_run,
     "index_all": q_index_all,
     "embed_model": q_embed_model,
+    "embed_cached": q_embed_cached,
     "index_drop": q_index_drop,
     "registry_round_trip": q_registry_round_trip,
     "registry_versions": q_registry_versions,

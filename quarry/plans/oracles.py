@@ -476,6 +476,19 @@ ORACLES["embed_model"] = """SELECT CAST(doc_id AS BIGINT) AS doc_id, """ + ", ".
     f"CAST(length(text) - length(replace(text, '{v}', '')) AS BIGINT) AS n_{v}" for v in "aeiou") + """,
        CAST(length(text) AS BIGINT) AS n_chars FROM documents"""
 
+ORACLES["embed_cached"] = f"""
+WITH bench AS (SELECT item_id AS id, 0 AS turn, text FROM benchmark),
+rest AS (SELECT -item_id - 1 AS id, 0 AS turn, ' ' || replace(text, ' ', '  ') AS text FROM benchmark
+         UNION ALL SELECT conv_id, turn + 1, text FROM conversations),
+keyed AS (SELECT *, trim(regexp_replace(text, '{S.WS_RE}+', ' ', 'g'), ' ') AS key FROM (
+            SELECT *, true AS early FROM bench UNION ALL SELECT *, false FROM rest) x),
+n AS (SELECT count(DISTINCT key) FILTER (WHERE early) AS a, count(DISTINCT key) AS b FROM keyed)
+SELECT CAST(id AS BIGINT) AS id, CAST(turn AS BIGINT) AS turn,
+       CAST(length(key) - length(replace(key, 'a', '')) AS BIGINT) AS n_a,
+       CAST(length(key) - length(replace(key, 'u', '')) AS BIGINT) AS n_u,
+       a AS added_0, b - a AS added_1, CAST(0 AS BIGINT) AS added_2
+FROM keyed, n"""
+
 ORACLES["index_all"] = f"""WITH RECURSIVE odd AS (
   SELECT {FX.ODD_PROJECT} AS project, {FX.DOC_MD_PATH} AS file_path, {FX.DOC_PARAGRAPHS} AS text
   FROM documents),""" + S.chunk_ctes("odd", ["project", "file_path"], "text").rstrip() + f""",

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_SETTINGS, Settings
 from quarry.functions.text import index_name
-from quarry.session import ship_package
 
 REGISTRY_SCHEMA = ("name string, project_path string, index_name string, created_at timestamp, "
                    "updated_at timestamp, last_indexed_at timestamp, "
@@ -154,7 +153,6 @@ def upsert_projects(current: DataFrame, incoming: DataFrame, now=None,
     ``seq`` (arrival order) wins; without ``seq`` the greatest path wins. Blank names are rejected (left out and reported by
     ``invalid_names``).
     """
-    ship_package(current.sparkSession)  # index names fold rare letters in Python
     ts = _ts(now)
     inc = incoming.where(F.length(F.trim("name")) > 0)
     if "seq" in inc.columns:

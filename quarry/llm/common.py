@@ -53,11 +53,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables that ``materialise`` wrote and ``df`` reads, once nothing reads them any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 @contextmanager

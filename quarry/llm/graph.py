@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,11 +28,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, release: bool = False) -> DataFrame:
     """(node, component) for every node that has an edge; the component is its smallest node id.
 
     ``edges`` has long columns ``a`` and ``b``; loops, duplicates and either direction are fine,
-    rows with a NULL end are ignored. An empty table gives an empty result.
+    rows with a NULL end are ignored. An empty table gives an empty result. With ``release`` a round's
+    table is deleted when the next one is written.
     """
     current = materialise(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -43,7 +44,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before or state.n == 0:
             break
         before = state
-        current = materialise(_star(_star(current, True), False), "edges")
+        done, current = current, materialise(_star(_star(current, True), False), "edges")
+        if release:
+            forget(done)
     else:
         raise RuntimeError("connected components did not converge")
     hubs = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -129,3 +129,36 @@ def test_lsh_recall_target_on_given_vectors(spark):
     exact = pairs(knn_exact(emb, queries, 10, id_cols=["vec_id"]))
     found = pairs(knn_lsh(emb, queries, 10, id_cols=["vec_id"], bands=LSH_BANDS, bits=LSH_BITS))
     assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_query_blocks_count_the_best_rows(spark, monkeypatch):
+    """A block's bound covers what a task holds: the vectors and the k best rows of its queries."""
+    from quarry.config import DEFAULT_SETTINGS
+    from quarry.operators import knn
+
+    queries = _frame(spark, np.ones((90, 8)), "query_id").selectExpr("query_id", "embedding AS _emb", "50 AS _k")
+    wide = DEFAULT_SETTINGS.with_(knn_broadcast_max_bytes=64 * 1024)  # its vectors alone are 6 KB
+    sizes = [t.num_rows for t in knn._query_blocks(queries, "query_id", wide)]
+    assert sum(sizes) == 90 and len(sizes) > 1
+    assert knn.TASK_BYTES <= 64 << 20
+
+
+def test_best_rows_stay_bounded_and_equal_a_full_sort():
+    """A task keeps k rows per query and what gathered since, and drops rows beyond a full query's k-th."""
+    import pyarrow as pa
+
+    from quarry.operators.knn import _Best
+
+    rng = np.random.default_rng(13)
+    best, seen = _Best(20, 3, ["id"]), []
+    for at in range(0, 4000, 100):
+        d = rng.integers(0, 50, (20, 100)).astype(float)  # many ties
+        ids = pa.table({"id": np.arange(at, at + 100)[::-1].copy()})
+        q, row = (x.ravel() for x in np.indices(d.shape))
+        best.add(q, d.ravel(), row, ids)
+        seen += zip(q.tolist(), d.ravel().tolist(), ids["id"].to_numpy()[row].tolist())
+        assert best.kept + best.gathered <= 20 * 3 + 65536 + d.size
+    got = best.fold()
+    want = [x for i in range(20) for x in sorted(s for s in seen if s[0] == i)[:3]]
+    assert list(zip(*(got[c].to_pylist() for c in ("q", "d", "id")))) == want
+    assert _Best(2, 3, ["id"]).fold() is None

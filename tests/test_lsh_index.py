@@ -138,3 +138,45 @@ def test_signatures_equal_the_unstored_ones(spark, tmp_path):
     stored = {(r.vec_id, r.band): r.bucket for r in store(index, tmp_path).rows.collect()}
     for r in lsh_signatures(index, "embedding", dim=16, bands=6, bits=4).collect():
         assert [stored[r.vec_id, b] for b in range(6)] == r.signature
+
+
+def test_what_is_written_holds_buckets_not_queries(spark, tmp_path, monkeypatch):
+    """However many queries meet in a bucket, a wanted key is written with at most one bucket per band."""
+    wrote = []
+    monkeypatch.setattr(li, "materialise", lambda df, name, real=li.materialise: wrote.append(real(df, name)) or wrote[-1])
+    index = frame(spark, np.random.default_rng(12).standard_normal((300, 16)), "vec_id")
+    stored = store(index, tmp_path, bands=4, bits=2)
+    li.knn_stored(index, stored, index.withColumnRenamed("vec_id", "query_id"), 5, id_cols=["vec_id"])
+    longest = [r[f.name] for df in wrote for f in df.schema if f.dataType.typeName() == "array"
+               for r in df.select(F.size(f.name).alias(f.name)).collect()]
+    assert len(longest) == 300 and max(longest) <= 4
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_pairs_found_by_lists_and_by_products_are_the_same(spark, tmp_path, monkeypatch, metric):
+    """Few bits (most pairs meet), many bits, ties and copies: both ways of a task give the same rows."""
+    rng = np.random.default_rng(14)
+    m = np.vstack([np.repeat(rng.standard_normal((6, 16)), 20, axis=0), rng.standard_normal((100, 16)), np.zeros((2, 16))])
+    index = frame(spark, m, "vec_id").repartition(2)
+    queries = index.withColumnRenamed("vec_id", "query_id")
+    for bits in (2, 8):
+        stored = store(index, tmp_path / str(bits), bands=3, bits=bits)
+        rows = {}
+        for dense in (0, 2):
+            monkeypatch.setattr(li, "DENSE", dense)
+            got, _ = li.knn_stored(index, stored, queries, 7, id_cols=["vec_id"], flips=1, metric=metric)
+            rows[dense] = sorted(map(tuple, got.select("query_id", "rank", "vec_id", "distance").collect()))
+        assert rows[0] == rows[2] and len(rows[0]) > 200
+
+
+def test_listed_pairs_come_once_whatever_the_slices(monkeypatch):
+    rng = np.random.default_rng(15)
+    asked, starts = rng.integers(0, 30, 400).astype(np.int32), np.r_[0, np.sort(rng.integers(0, 400, 19)), 400]
+    row = np.sort(rng.integers(0, 50, 200))
+    code = rng.integers(0, 20, 200)
+    want = sorted({(int(q), int(r)) for r, c in zip(row, code) for q in asked[starts[c]:starts[c + 1]]})
+    for most in (1, 60, 1 << 20):
+        monkeypatch.setattr(li, "PAIRS", most)
+        slices = list(li._listed(row, code, starts, asked, 30))
+        assert sorted((int(q), int(r)) for a, b in slices for q, r in zip(a, b)) == want
+        assert (len(slices) == 1) == (most == 1 << 20)

@@ -11,8 +11,8 @@ the nearest share of each shard by footrule and reranks it by the exact inner pr
 
 Equal vectors are indexed once with their ``k + 1`` smallest ids, which is all a result can show of
 them (ties go to the smaller id), so a vector that fills a third of the table costs one row. Queries
-are cut into blocks and every block meets every shard of its dimension in a work row of bounded size;
-only ``k + 1`` hits per query and shard are shuffled.
+are cut into blocks and every block meets every shard of its dimension in a work row of bounded size, made
+in the task that searches it and never written; only ``k + 1`` hits per query and shard are shuffled.
 
 Every row is indexed; the budget ``share`` (with at least ``least`` vectors per shard) is set so that
 recall stays above 0.9 on unclustered 64-dimensional data (measured in the tests and the README).
@@ -41,6 +41,8 @@ SHARE = 0.06
 LEAST = 512
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
+#: Query blocks that a task holds at once, at most.
+TASK_BLOCKS = 32
 
 
 def usable(column) -> "F.Column":
@@ -188,10 +190,13 @@ def _nearest_of(members: DataFrame, asked: DataFrame, dim: int, rows: int, k: in
                                     scale * (1 + 1e-12), dim, shards, posted), "index")
     distinct = _pack(asked.select("class", "v").dropDuplicates(["class"]), ["class"])
     blocks = max(1, math.ceil(asked.count() / query_block))
-    packed = (distinct.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(blocks)))
-              .groupBy("block").agg(F.collect_list(F.struct("class", "v")).alias("q")))
-    work = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    work = work.repartition(F.col("block"), F.col("shard")).join(index, "shard")
+    packed = materialise(
+        distinct.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(blocks)))
+        .groupBy("block").agg(F.collect_list(F.struct("class", "v")).alias("q")).select("q"), "query_blocks")
+    # tasks read the parts of both tables that they pair: no copy of a block or shard is shuffled, none sent to the driver
+    wide = 4 * int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(blocks, max(math.ceil(wide / shards), math.ceil(blocks / TASK_BLOCKS)))
+    work = index.crossJoin(packed.repartition(parts).hint("shuffle_replicate_nl"))
 
     def run(batches):
         for batch in batches:

@@ -50,3 +50,25 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert got[8] == [(40, 1.0)] and got[40] == [(8, 1.0)]
     assert not {4, 5, 6, 7, 9, 10} & set(got)
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
+
+
+def test_query_blocks_are_not_broadcast_once_per_shard(spark):
+    """Every block meets every shard, whose number no size estimate knows: a broadcast would hold all pairs in the driver."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = nearest(df, df, k=5, shard_rows=40, query_block=25)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = plan[plan.index("MapInArrow"):]
+    assert "CartesianProduct" in sent and "Broadcast" not in sent.split("CartesianProduct")[0]
+    assert "files" not in "".join(part.split("\n")[0] for part in plan.split("BroadcastExchange")[1:])
+    for q, own in got.groupby("query_id"):  # shards of at most 512 vectors are searched whole
+        want, score = exact(np.arange(400), x, q, 5)
+        own = own.sort_values("rank")
+        assert list(own.vec_id) == list(want) and np.allclose(own.score, score)
